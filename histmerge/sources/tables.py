@@ -56,12 +56,13 @@ def read_history(
     root: str,
     fmt: str = "parquet",
     options: dict[str, str] | None = None,
-    names: dict[str, str] | None = None,
+    names: dict[str, str | None] | None = None,
 ) -> History:
     """Read one side from ``root/<table>`` with any Spark data source.
 
-    ``names`` gives another folder or table name per table. A ``jdbc`` source
-    takes its table names from ``names`` and the rest from ``options``.
+    ``names`` gives another folder or table name per table, or None for metadata
+    that is not there. A ``jdbc`` source takes its table names from ``names``
+    and the rest from ``options``.
     """
     names = {**{t: t for t in TABLES}, **(names or {})}
     reader = spark.read.format(fmt).options(**(options or {}))
@@ -71,7 +72,7 @@ def read_history(
             return reader.option("dbtable", names[table]).load()
         return reader.load(f"{root.rstrip('/')}/{names[table]}")
 
-    meta = conform(load("meta"), META) if "meta" in names else empty_table(spark, META)
+    meta = scan_meta(load("meta")) if names["meta"] else empty_table(spark, META)
     return History(
         scan_origins(load("origins")), scan_places(load("places")), scan_visits(load("visits")), meta
     )

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from histmerge.sources.schema import (
     ORIGINS,
@@ -63,16 +62,10 @@ def test_read_any_format(spark, history, tmp_path, fmt):
     side = history(
         [(1, "https://", "a", 5)], [place(1, "u", 9, 2, origin=1)], [(1, 1, 10, 1, 0)]
     )
-    for name, df in {**side.tables(), "meta": side.meta}.items():
-        schema_kept = df if fmt != "json" else df.withColumn("_x", F.lit(1))
-        schema_kept.write.format(fmt).save(f"{tmp_path}/{name}")
-    # An empty json folder holds no schema to read, so it is read without metadata.
-    names = {"meta": "meta"}
-    if fmt == "json":
-        spark.createDataFrame([("k", "v")], "key string, value string").write.mode(
-            "overwrite"
-        ).json(f"{tmp_path}/meta")
-    read = read_history(spark, str(tmp_path), fmt, names=names)
+    for name, df in side.tables().items():
+        df.write.format(fmt).save(f"{tmp_path}/past-{name}")
+    names = {name: f"past-{name}" for name in side.tables()}
+    read = read_history(spark, str(tmp_path), fmt, names={**names, "meta": None})
     assert rows(read.places, "id", "url", "url_hash", "visit_count", "origin_id") == [
         (1, "u", 9, 2, 1)
     ]
