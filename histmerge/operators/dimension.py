@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from histmerge.operators.ids import in_order, largest_id, numbered
-from histmerge.operators.lookup import fits_broadcast, lookup, newest_id
+from histmerge.operators.lookup import fits_broadcast, lookup, newest_id, translate
 from histmerge.workspace import Workspace
 
 # How the values of one column are put together: over the source rows of one
@@ -112,11 +112,14 @@ def merge_dimension(
     work: Workspace,
     rules: MergeRules | None = None,
     id_col: str = "id",
-    last_from: Mapping[str, str] | None = None,
+    id_maps: Mapping[str, DataFrame] | None = None,
     name: str = "dimension",
 ) -> DimensionMerge:
     """Merge ``src`` into ``dst``; both have the key columns and ``id_col``.
 
+    ``id_maps`` translates foreign keys combined by "last": the last id that the
+    map holds wins, and an inserted row without any keeps its raw id.
+
     Movement of data: the source's keys and combined columns once, reduced; the
     destination's keys once, reduced; one narrow range shuffle to number new
     keys in order. The full rows of either side move at most once, by their
@@ -124,7 +127,11 @@ def merge_dimension(
     """
     rules = rules or MergeRules()
     columns = dst.columns
-    groups = collapse(src, keys, rules, id_col, last_from)
+    moved, last_from = src, {}
+    for column, id_map in (id_maps or {}).items():
+        last_from[column] = f"_moved_{column}"
+        moved = translate(moved, id_map, column, last_from[column], spread=[id_col])
+    groups = collapse(moved, keys, rules, id_col, last_from)
     matched = groups.join(newest_id(dst, keys, id_col), keys, "left")
     is_new = F.col("dst_id").isNull()
     placed = work.keep(in_order(matched, "first_id", first=is_new), f"{name}-keys")

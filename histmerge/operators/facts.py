@@ -47,7 +47,7 @@ def merge_facts(
     """
     moved = src
     for column, id_map in (id_maps or {}).items():
-        moved = remap(moved, id_map, column)
+        moved = remap(moved, id_map, column, spread=[id_col])
     firsts = first_per_key(moved, keys, id_col)
 
     seen, rows_read = _comparable(src, dst, between)

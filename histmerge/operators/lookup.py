@@ -125,9 +125,11 @@ def translate(
     return lookup(df, renamed, [column], spread=spread)
 
 
-def remap(df: DataFrame, id_map: DataFrame, column: str) -> DataFrame:
+def remap(
+    df: DataFrame, id_map: DataFrame, column: str, spread: list[str] | None = None
+) -> DataFrame:
     """Replace ``column`` through an id map; ids it does not hold stay as they are."""
-    moved = translate(df, id_map, column, "_new_id")
+    moved = translate(df, id_map, column, "_new_id", spread)
     return moved.select(
         *[
             F.coalesce("_new_id", column).alias(column) if c == column else F.col(c)

@@ -20,7 +20,7 @@ from histmerge.functions.keys import (
 from histmerge.operators.checks import dangling, orphan_visits
 from histmerge.operators.dimension import DimensionMerge, MergeRules, merge_dimension
 from histmerge.operators.facts import FactMerge, merge_facts
-from histmerge.operators.lookup import remap, translate
+from histmerge.operators.lookup import remap
 from histmerge.operators.score import rescore
 from histmerge.operators.stats import anything_moved, merge_stats, meta_upsert, run_metadata
 from histmerge.sources.publish import Publication
@@ -100,15 +100,9 @@ def merge_places(
     """Combine places on both sides, insert new ones, map every source id."""
     options = options or MergeOptions()
     rules = place_rules(dst.columns, options, work.run_id)
-    moved = translate(src, origin_ids, "origin_id", "_new_origin_id", spread=["id"])
+    id_maps = {"origin_id": origin_ids}
     return merge_dimension(
-        moved,
-        dst,
-        options.place_keys,
-        work,
-        rules,
-        last_from={"origin_id": "_new_origin_id"},
-        name="places",
+        src, dst, options.place_keys, work, rules, id_maps=id_maps, name="places"
     )
 
 
@@ -121,7 +115,7 @@ def merge_visits(
 ) -> FactMerge:
     """Insert visits whose place (translated), date and type are not there yet."""
     if options is not None and options.remap_visit_places:
-        src = remap(src, place_ids, "triggering_place_id")
+        src = remap(src, place_ids, "triggering_place_id", spread=["id"])
     return merge_facts(
         src,
         dst,

@@ -349,7 +349,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "stats_json": lambda i: stats.stats_json(i.stats),
     "meta_upsert": _meta_upsert,
     "validation_report": lambda i: checks.validation_report(
-        i.stats, i.visits.table, i.places.table, i.dst.visits
+        i.stats, i.places.table, i.dst.visits, i.visits.inserted
     ),
     "merge_history_counts": _merged_counts,
     "publish_versioned": _publish,

@@ -172,7 +172,7 @@ def test_report_and_checks(spark, history, work):
     assert unmapped_visits(src.visits, src.places).first()[0] == 1
     merged = merge_history(src, dst, NOW, work)
     report = validation_report(
-        merged.stats, merged.history.visits, merged.history.places, dst.visits
+        merged.stats, merged.history.places, dst.visits, merged.visits.inserted
     )
     assert rows(report) == [
         ("new_orphan_visits", 1, False),
