@@ -7,13 +7,14 @@ every source id is mapped to the id its key has afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histmerge.operators.ids import in_order, largest_id, numbered
+from histmerge.operators.ids import assign_ids, largest_id
 from histmerge.operators.lookup import fits_broadcast, lookup, newest_id, translate
 from histmerge.workspace import Workspace
 
@@ -43,15 +44,20 @@ class MergeRules:
             raise ValueError(f"unknown merge rules: {sorted(unknown)}")
 
 
-@dataclass(frozen=True)
+@dataclass
 class DimensionMerge:
     """Result of :func:`merge_dimension`."""
 
     table: DataFrame  # the complete merged table
     inserted: DataFrame  # its new rows alone
-    id_map: DataFrame  # (old_id, new_id), a written table
     keys: DataFrame  # (key columns, id, source_rows, is_new), one row per source key
     stats: DataFrame  # one row: rows_read, rows_inserted, rows_merged
+    write_id_map: Callable[[], DataFrame]
+
+    @cached_property
+    def id_map(self) -> DataFrame:
+        """Where every source id went (``old_id``, ``new_id``); written when first asked for."""
+        return self.write_id_map()
 
 
 def _combined(column: str, rule: str, id_col: str, values: str) -> Column:
@@ -121,8 +127,8 @@ def merge_dimension(
     map holds wins, and an inserted row without any keeps its raw id.
 
     Movement of data: the source's keys and combined columns once, reduced; the
-    destination's keys once, reduced; one narrow range shuffle to number new
-    keys in order. The full rows of either side move at most once, by their
+    destination's keys once, reduced; the new keys once more, by range, to number
+    them in order. The full rows of either side move at most once, by their
     unique id, and not at all where the other side of that join is small.
     """
     rules = rules or MergeRules()
@@ -133,38 +139,33 @@ def merge_dimension(
         moved = translate(moved, id_map, column, last_from[column], spread=[id_col])
     groups = collapse(moved, keys, rules, id_col, last_from)
     matched = groups.join(newest_id(dst, keys, id_col), keys, "left")
+    matched = work.keep(matched, f"{name}-keys")
     is_new = F.col("dst_id").isNull()
-    placed = work.keep(in_order(matched, "first_id", first=is_new), f"{name}-keys")
-    resolved = numbered(placed, largest_id(dst, id_col), only=is_new, to="_new").withColumn(
-        "_id", F.coalesce("dst_id", "_new")
-    )
-
-    key_ids = resolved.select(*keys, F.col("_id").alias("new_id"))
-    id_map = work.keep(
-        lookup(
-            src.select(*keys, F.col(id_col).alias("old_id")),
-            key_ids,
-            keys,
-            spread=["old_id"],
-            small=fits_broadcast(placed.select(*keys, "dst_id")),
-        ).select("old_id", "new_id"),
-        f"{name}-ids",
-    )
-
-    inserted = _inserted(src, resolved.where(is_new), columns, rules, id_col)
-    kept = _kept(dst, resolved.where(~is_new), columns, rules, id_col)
-    stats = placed.agg(
+    start = largest_id(dst, id_col)
+    new = assign_ids(matched.where(is_new), start, work, "first_id", to="_id", name=name)
+    hit = matched.where(~is_new).withColumn("_id", F.col("dst_id"))
+
+    def write_id_map() -> DataFrame:
+        key_ids = hit.unionByName(new).select(*keys, F.col("_id").alias("new_id"))
+        small = fits_broadcast(matched.select(*keys, "dst_id"))
+        ids = src.select(*keys, F.col(id_col).alias("old_id"))
+        found = lookup(ids, key_ids, keys, spread=["old_id"], small=small)
+        return work.keep(found.select("old_id", "new_id"), f"{name}-ids")
+
+    inserted = _inserted(src, new, columns, rules, id_col)
+    kept = _kept(dst, hit, columns, rules, id_col)
+    stats = matched.agg(
         F.coalesce(F.sum("source_rows"), F.lit(0)).cast("bigint").alias("rows_read"),
         F.count_if(is_new).alias("rows_inserted"),
     ).withColumn("rows_merged", F.col("rows_read") - F.col("rows_inserted"))
     return DimensionMerge(
         table=kept.unionByName(inserted),
         inserted=inserted,
-        id_map=id_map,
-        keys=resolved.select(
+        keys=hit.unionByName(new).select(
             *keys, F.col("_id").alias(id_col), "source_rows", is_new.alias("is_new")
         ),
         stats=stats,
+        write_id_map=write_id_map,
     )
 
 

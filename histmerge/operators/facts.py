@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histmerge.operators.ids import first_per_key, in_order, largest_id, numbered
+from histmerge.operators.ids import assign_ids, first_per_key, largest_id
 from histmerge.operators.lookup import BROADCAST_BYTES, keys_in, remap
 from histmerge.workspace import Workspace
 
@@ -56,10 +56,11 @@ def merge_facts(
         firsts = work.keep(firsts, f"{name}-batch")
     fresh = firsts.join(keys_in(seen, keys, firsts, small=batch), keys, "left_anti")
 
-    placed = work.keep(in_order(fresh, id_col, *keys), f"{name}-new")
-    inserted = numbered(placed, largest_id(dst, id_col), to="_id")
+    fresh = work.keep(fresh, f"{name}-new")
+    start = largest_id(dst, id_col)
+    inserted = assign_ids(fresh, start, work, id_col, *keys, to="_id", name=name)
     inserted = inserted.withColumn(id_col, F.col("_id")).select(*dst.columns)
-    stats = placed.agg(
+    stats = fresh.agg(
         F.lit(rows_read).cast("bigint").alias("rows_read"),
         F.count(F.lit(1)).alias("rows_inserted"),
     ).withColumn("rows_skipped", F.col("rows_read") - F.col("rows_inserted"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,22 +32,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: str = "id") -> DataFram
     return df.groupBy(*keys).agg(*firsts).select(*df.columns)
 
 
-def in_order(df: DataFrame, *order: str, first: Column | None = None) -> DataFrame:
+def in_order(df: DataFrame, *order: str) -> DataFrame:
     """Range-partition and sort by ``order``, and note each row's slot.
 
-    Rows for which ``first`` holds lead their partition, so that they alone can
-    be numbered without a gap. Write the result before using the slots: they
-    are facts of one execution.
+    Give it a written table: Spark reads the input once more to find the ranges.
+    Write the result before using the slots: they are facts of one execution.
     """
-    lead = [] if first is None else [(~first).cast("int")]
-    return (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*lead, *order)
-        .withColumn(SLOT, F.monotonically_increasing_id())
-    )
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return placed.withColumn(SLOT, F.monotonically_increasing_id())
 
 
-def numbered(placed: DataFrame, start: int, only: Column | None = None, to: str = "id") -> DataFrame:
+def numbered(placed: DataFrame, start: int, to: str = "id") -> DataFrame:
     """Ids ``start + 1, start + 2, …`` over a written :func:`in_order` table.
 
     Only the row count of each partition is summed up in one place: as many
@@ -55,17 +50,13 @@ def numbered(placed: DataFrame, start: int, only: Column | None = None, to: str
     """
     part = F.shiftright(F.col(SLOT), ROW_BITS)
     row = F.col(SLOT).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    counted = placed if only is None else placed.where(only)
-    sizes = counted.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
         "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) + start).alias("_offset")
     )
-    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part", "left")
-    number = F.col("_offset") + row + 1
-    if only is not None:
-        number = F.when(only, number)
-    return joined.withColumn(to, number).drop("_part", "_offset", SLOT)
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.withColumn(to, F.col("_offset") + row + 1).drop("_part", "_offset", SLOT)
 
 
 def largest_id(df: DataFrame, id_col: str = "id") -> int:
@@ -74,8 +65,8 @@ def largest_id(df: DataFrame, id_col: str = "id") -> int:
 
 
 def assign_ids(
-    df: DataFrame, start: int, work: Workspace, *order: str, to: str = "id"
+    df: DataFrame, start: int, work: Workspace, *order: str, to: str = "id", name: str = "rows"
 ) -> DataFrame:
-    """Number the rows of ``df`` after ``start`` in the order of unique columns."""
-    placed = work.keep(in_order(df, *order), "numbering")
+    """Number the rows of a written table after ``start``, in the order of unique columns."""
+    placed = work.keep(in_order(df, *order), f"{name}-in-order")
     return numbered(placed, start, to=to)
