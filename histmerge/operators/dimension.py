@@ -14,8 +14,14 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histmerge.operators.ids import assign_ids, largest_id
-from histmerge.operators.lookup import fits_broadcast, lookup, newest_id, translate
+from histmerge.operators.ids import assign_ids, rows_and_largest_id
+from histmerge.operators.lookup import (
+    fits_broadcast,
+    is_batch,
+    keys_among,
+    lookup,
+    translate,
+)
 from histmerge.workspace import Workspace
 
 # How the values of one column are put together: over the source rows of one
@@ -79,6 +85,7 @@ def collapse(
     rules: MergeRules,
     id_col: str = "id",
     last_from: Mapping[str, str] | None = None,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """One row per source key: combined values, first id, number of rows.
 
@@ -86,17 +93,28 @@ def collapse(
     each task's rows before the one shuffle, heavy keys first of all.
     ``last_from`` names the column a rule reads when it is not its own (the
     translated id next to the raw one).
+
+    With ``seen`` (a destination's keys and ids) each key also gets ``dst_id``,
+    the largest id it has there, or NULL. Those rows go through the same
+    aggregation, without values, instead of a second one and a join.
     """
     given = last_from or {}
-    combined = [
-        _combined(column, rule, id_col, given.get(column, column))
-        for column, rule in rules.combine.items()
-    ]
-    return src.groupBy(*keys).agg(
+    sources = {c: given.get(c, c) for c in rules.combine}
+    rows = src.select(*keys, id_col, *dict.fromkeys(c for c in sources.values() if c not in keys))
+    combined = [_combined(c, rule, id_col, sources[c]) for c, rule in rules.combine.items()]
+    counted = [
         *combined,
         F.min(id_col).alias("first_id"),
-        F.count(F.lit(1)).alias("source_rows"),
-    )
+        F.count(id_col).alias("source_rows"),
+    ]
+    if seen is None:
+        return rows.groupBy(*keys).agg(*counted)
+    values = [c for c in rows.columns if c not in keys]
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in values]
+    held = seen.select(*keys, F.col(id_col).alias("dst_id"), *none)
+    both = rows.withColumn("dst_id", F.lit(None).cast("bigint")).unionByName(held)
+    grouped = both.groupBy(*keys).agg(*counted, F.max("dst_id").alias("dst_id"))
+    return grouped.where(F.col("source_rows") > 0)
 
 
 def _joined_value(column: str, rule: str) -> Column:
@@ -126,9 +144,8 @@ def merge_dimension(
     ``id_maps`` translates foreign keys combined by "last": the last id that the
     map holds wins, and an inserted row without any keeps its raw id.
 
-    Movement of data: the source's keys and combined columns once, reduced; the
-    destination's keys once, reduced; the new keys once more, by range, to number
-    them in order. The full rows of either side move at most once, by their
+    Movement of data: the keys of both sides and the source's combined columns
+    once, reduced; the new keys once more, by range, to number them in order. The full rows of either side move at most once, by their
     unique id, and not at all where the other side of that join is small.
     """
     rules = rules or MergeRules()
@@ -137,11 +154,13 @@ def merge_dimension(
     for column, id_map in (id_maps or {}).items():
         last_from[column] = f"_moved_{column}"
         moved = translate(moved, id_map, column, last_from[column], spread=[id_col])
-    groups = collapse(moved, keys, rules, id_col, last_from)
-    matched = groups.join(newest_id(dst, keys, id_col), keys, "left")
-    matched = work.keep(matched, f"{name}-keys")
+    dst_rows, start = rows_and_largest_id(dst, id_col)
+    seen = dst.select(*keys, id_col)
+    if is_batch(src.select(*keys), src.count(), dst_rows):
+        seen = keys_among(seen, keys, src)
+    groups = collapse(moved, keys, rules, id_col, last_from, seen)
+    matched = work.keep(groups, f"{name}-keys")
     is_new = F.col("dst_id").isNull()
-    start = largest_id(dst, id_col)
     new = assign_ids(matched.where(is_new), start, work, "first_id", to="_id", name=name)
     hit = matched.where(~is_new).withColumn("_id", F.col("dst_id"))
 

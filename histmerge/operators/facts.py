@@ -8,17 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histmerge.operators.ids import assign_ids, first_per_key, largest_id
-from histmerge.operators.lookup import BROADCAST_BYTES, keys_in, remap
+from histmerge.operators.ids import assign_ids, first_per_key, rows_and_largest_id
+from histmerge.operators.lookup import is_batch, keys_among, remap
 from histmerge.workspace import Workspace
 
-# A source of at most this many rows, and so many times smaller than the
-# destination, is a batch: its keys are broadcast to the destination's scan,
-# where these are of fixed width and within the broadcast bound.
-BATCH_ROWS = 1_000_000
-BATCH_RATIO = 20
-
-
 @dataclass(frozen=True)
 class FactMerge:
     """Result of :func:`merge_facts`."""
@@ -48,16 +41,12 @@ def merge_facts(
     moved = src
     for column, id_map in (id_maps or {}).items():
         moved = remap(moved, id_map, column, spread=[id_col])
-    firsts = first_per_key(moved, keys, id_col)
-
     seen, rows_read = _comparable(src, dst, between)
-    batch = _is_batch(rows_read, dst, keys)
-    if batch:
-        firsts = work.keep(firsts, f"{name}-batch")
-    fresh = firsts.join(keys_in(seen, keys, firsts, small=batch), keys, "left_anti")
-
-    fresh = work.keep(fresh, f"{name}-new")
-    start = largest_id(dst, id_col)
+    dst_rows, start = rows_and_largest_id(dst, id_col)
+    if is_batch(src.select(*keys), rows_read, dst_rows):
+        moved = work.keep(moved, f"{name}-batch")
+        seen = keys_among(seen.select(*keys), keys, moved)
+    fresh = work.keep(first_per_key(moved, keys, id_col, unless=seen), f"{name}-new")
     inserted = assign_ids(fresh, start, work, id_col, *keys, to="_id", name=name)
     inserted = inserted.withColumn(id_col, F.col("_id")).select(*dst.columns)
     stats = fresh.agg(
@@ -71,15 +60,5 @@ def _comparable(src: DataFrame, dst: DataFrame, between: str | None) -> tuple[Da
     """The destination rows that can have a source key, and the source row count."""
     if between is None:
         return dst, src.count()
-    seen = src.agg(F.count(F.lit(1)), F.min(between), F.max(between))
-    rows, low, high = seen.first()
+    rows, low, high = src.agg(F.count(F.lit(1)), F.min(between), F.max(between)).first()
     return dst.where(F.col(between).between(F.lit(low), F.lit(high))), rows
-
-
-def _is_batch(rows: int, dst: DataFrame, keys: list[str]) -> bool:
-    """Whether broadcasting the source's keys spares shuffling a large destination."""
-    if any(dst.schema[k].dataType.typeName() in ("string", "binary") for k in keys):
-        return False
-    if rows > BATCH_ROWS or 8 * len(keys) * rows > BROADCAST_BYTES:
-        return False
-    return dst.count() >= BATCH_RATIO * rows

@@ -9,27 +9,39 @@ from pyspark.sql import functions as F
 from histmerge.workspace import Workspace
 
 SLOT = "_slot"
+HELD = "_held"
 # Documented layout of monotonically_increasing_id: the partition number sits
 # above 33 bits that count the rows of the partition.
 ROW_BITS = 33
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
-    """The first row of each key by ``order``, reduced before the shuffle.
+def first_per_key(
+    df: DataFrame, keys: list[str], order: str = "id", unless: DataFrame | None = None
+) -> DataFrame:
+    """The first row of each key by ``order``; none for keys that ``unless`` holds.
 
-    Fixed-width rows are reduced by hash aggregation; rows with text are carried
-    whole through a sort-based one. Either way a task sends one row per key, so
-    a key with a third of all rows is no heavier than another.
+    One aggregation reduces every task's rows before the one shuffle, so a key
+    with a third of all rows is no heavier than another, on either side. The
+    keys to leave out join the same aggregation as rows without a value, which
+    spares sorting both sides for an anti join. Fixed-width rows are aggregated
+    by hash; rows with text are carried whole through a sort-based aggregation.
     """
     rest = [c for c in df.columns if c not in keys]
-    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
-    if any(types[c] in ("string", "binary") for c in rest):
-        first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_first"))
-        return first.select(
-            *[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns]
-        )
-    firsts = [F.min(c).alias(c) if c == order else F.min_by(c, order).alias(c) for c in rest]
-    return df.groupBy(*keys).agg(*firsts).select(*df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    rows = df.withColumn(HELD, F.lit(None).cast("boolean"))
+    if unless is not None:
+        nothing = [F.lit(None).cast(types[c]).alias(c) for c in rest]
+        held = unless.select(*keys, *nothing, F.lit(True).alias(HELD))
+        rows = rows.unionByName(held)
+    if any(types[c].typeName() in ("string", "binary") for c in rest):
+        firsts = [F.min_by(F.struct(*rest), order).alias("_first")]
+        shown = {c: F.col(f"_first.{c}") for c in rest}
+    else:
+        firsts = [F.min(c).alias(c) if c == order else F.min_by(c, order).alias(c) for c in rest]
+        shown = {c: F.col(c) for c in rest}
+    grouped = rows.groupBy(*keys).agg(*firsts, F.bool_or(HELD).alias(HELD))
+    kept = grouped.where(F.col(HELD).isNull())
+    return kept.select(*[shown.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
 def in_order(df: DataFrame, *order: str) -> DataFrame:
@@ -59,9 +71,11 @@ def numbered(placed: DataFrame, start: int, to: str = "id") -> DataFrame:
     return joined.withColumn(to, F.col("_offset") + row + 1).drop("_part", "_offset", SLOT)
 
 
-def largest_id(df: DataFrame, id_col: str = "id") -> int:
-    """The largest id in a table, 0 when it is empty."""
-    return df.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).first()[0]
+def rows_and_largest_id(df: DataFrame, id_col: str = "id") -> tuple[int, int]:
+    """Row count and largest id (0 when empty) of a table, in one pass over its ids."""
+    return tuple(
+        df.agg(F.count(F.lit(1)), F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).first()
+    )
 
 
 def assign_ids(

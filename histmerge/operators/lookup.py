@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
+# A source so many times smaller than the destination, and within the broadcast
+# bounds, is a batch: the destination's keys are cut down to its keys in place.
+BATCH_RATIO = 20
+
 # A key is heavy from this many rows on, and from 1/HEAVY_SHARE of all rows.
 HEAVY_ROWS = 1_000_000
 HEAVY_SHARE = 200
@@ -138,16 +142,14 @@ def remap(
     )
 
 
-def keys_in(df: DataFrame, keys: list[str], among: DataFrame, small: bool) -> DataFrame:
-    """Distinct keys of ``df``, only those that can occur in ``among``.
+def is_batch(src_keys: DataFrame, src_rows: int, dst_rows: int) -> bool:
+    """Whether broadcasting a source's keys spares shuffling those of a large destination."""
+    return src_rows * BATCH_RATIO <= dst_rows and fits_broadcast(src_keys)
 
-    With a small ``among`` the large side is cut down in place, without moving;
-    otherwise the distinct keys are shuffled once, after a map-side pass.
-    """
-    wanted = df.select(*keys)
-    if small:
-        wanted = wanted.join(F.broadcast(among.select(*keys)), keys, "left_semi")
-    return wanted.distinct()
+
+def keys_among(df: DataFrame, keys: list[str], batch: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key a batch has; ``df`` is cut down without moving."""
+    return df.join(F.broadcast(batch.select(*keys)), keys, "left_semi")
 
 
 def unseen(src: DataFrame, dst: DataFrame, keys: list[str]) -> DataFrame:

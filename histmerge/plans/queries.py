@@ -20,7 +20,7 @@ from histmerge.operators.dimension import (
     merge_dimension,
 )
 from histmerge.operators.facts import FactMerge, merge_facts
-from histmerge.operators.ids import assign_ids, first_per_key, largest_id
+from histmerge.operators.ids import assign_ids, first_per_key, rows_and_largest_id
 from histmerge.operators.lookup import match, remap, seen, translate, unseen
 from histmerge.operators.score import rescore
 from histmerge.plans import history as H
@@ -138,7 +138,7 @@ def _collapse_places(i: Inputs) -> DataFrame:
 
 
 def _assign_ids(i: Inputs) -> DataFrame:
-    start = largest_id(i.dst.visits)
+    _, start = rows_and_largest_id(i.dst.visits)
     ids = i.src.visits.select(F.col("id").alias("old_id"))
     return assign_ids(ids, start, i.work, "old_id", to="new_id")
 

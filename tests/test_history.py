@@ -3,7 +3,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from histmerge.operators import facts as facts_module
 from histmerge.operators import lookup as lookup_module
 from histmerge.operators import stats as S
 from histmerge.operators.checks import dangling, mismatched_origins, orphan_visits
@@ -239,7 +238,7 @@ def test_merge_equals_a_row_by_row_replay(spark, history, work, monkeypatch, see
         monkeypatch.setattr(lookup_module, "HEAVY_ROWS", 2)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     else:
-        monkeypatch.setattr(facts_module, "BATCH_RATIO", seed % 2)
+        monkeypatch.setattr(lookup_module, "BATCH_RATIO", seed % 2)
     r = random.Random(seed)
     src, dst = random_side(r, 40, 1000), random_side(r, 25, 100 if seed % 2 else 1000)
     seen = set()  # origins are unique in a destination; other tables need not be

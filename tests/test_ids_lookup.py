@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histmerge.operators import lookup as L
-from histmerge.operators.ids import assign_ids, first_per_key, largest_id
+from histmerge.operators.ids import assign_ids, first_per_key, rows_and_largest_id
 from tests.conftest import rows
 
 
@@ -18,7 +18,7 @@ def test_ids_follow_source_order_over_many_partitions(spark, work):
 def test_ids_of_an_empty_table(spark, work):
     empty = spark.range(0).withColumnRenamed("id", "old")
     assert assign_ids(empty, 0, work, "old").count() == 0
-    assert largest_id(empty, "old") == 0
+    assert rows_and_largest_id(empty, "old") == (0, 0)
 
 
 @pytest.mark.parametrize("text", [True, False])
@@ -36,6 +36,16 @@ def test_first_row_per_key(spark, text):
     assert rows(got) == sorted(want.values(), key=repr)
 
 
+@pytest.mark.parametrize("text", [True, False])
+def test_first_row_of_keys_that_are_not_held(spark, text):
+    data = [(i, i % 10, None if i < 15 else i, f"t{i}") for i in range(100)]
+    df = spark.createDataFrame(data, "id bigint, k bigint, v bigint, t string").repartition(3)
+    df = df if text else df.drop("t")
+    held = spark.createDataFrame([(3,), (3,), (7,), (99,)], "k bigint")
+    got = first_per_key(df, ["k"], unless=held)
+    assert rows(got, "id", "v") == [(i, None) for i in range(10) if i not in (3, 7)]
+
+
 FACTS = [(i, 7 if i % 3 == 0 else i % 50, "k" if i % 10 else None) for i in range(3000)]
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 from histmerge.functions.keys import url_hash
-from histmerge.operators import facts as facts_module
+from histmerge.operators import lookup as lookup_module
 from histmerge.operators.dimension import MergeRules, merge_dimension
 from histmerge.operators.facts import merge_facts
 from histmerge.plans.history import merge_origins, merge_places, merge_visits
@@ -34,8 +34,14 @@ def test_existing_origin_is_kept_as_it_is(history, work):
     assert rows(got.id_map) == [(8, 3)]
 
 
+@pytest.fixture(params=["whole", "batch"])
+def way(request, monkeypatch):
+    """Keys compared by shuffling both sides, and by broadcasting a batch's keys."""
+    monkeypatch.setattr(lookup_module, "BATCH_RATIO", 0 if request.param == "batch" else 10**9)
+
+
 @pytest.fixture
-def merged_places(spark, history, work):
+def merged_places(spark, history, work, way):
     def merge(src, dst=(), ids=()):
         id_map = spark.createDataFrame(list(ids), "old_id bigint, new_id bigint")
         return merge_places(history(places=src).places, history(places=dst).places, id_map, work)
@@ -132,12 +138,6 @@ def test_generic_dimension_with_fresh_columns_on_insert(spark, work):
     assert rows(got.keys, "url", "key", "is_new") == [("a", 11, True), ("b", 10, False)]
 
 
-@pytest.fixture(params=["whole", "batch"])
-def way(request, monkeypatch):
-    """Facts compared by shuffling both sides, and by broadcasting a batch's keys."""
-    monkeypatch.setattr(facts_module, "BATCH_RATIO", 0 if request.param == "batch" else 10**9)
-
-
 def test_visits_are_moved_and_inserted_once(spark, history, work, way):
     ids = spark.createDataFrame([(7, 1), (8, 1)], "old_id bigint, new_id bigint")
     src = history(visits=[
