@@ -21,6 +21,19 @@ def dangling(df: DataFrame, column: str, parent: DataFrame, parent_id: str = "id
     return held.join(ids, column, "left_anti")
 
 
+def repeated(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row: how many values of a key occur more than once.
+
+    Rows are counted per value in each task first. NULL and empty text are no
+    values: several rows may be without one.
+    """
+    held = df
+    for column in key:
+        held = held.where(F.col(column).isNotNull() & (F.col(column).cast("string") != ""))
+    counted = held.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.agg(F.count_if(F.col("rows") > 1).alias("repeated"))
+
+
 def orphan_visits(visits: DataFrame, places: DataFrame) -> DataFrame:
     """One row: how many visits belong to no place."""
     missing = dangling(visits, "place_id", places)

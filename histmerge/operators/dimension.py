@@ -152,6 +152,8 @@ def merge_dimension(
     columns = dst.columns
     moved, last_from = src, {}
     for column, id_map in (id_maps or {}).items():
+        if rules.combine.get(column) != "last":
+            raise ValueError(f"{column} is translated, so its rule must be last")
         last_from[column] = f"_moved_{column}"
         moved = translate(moved, id_map, column, last_from[column], spread=[id_col])
     dst_rows, start = rows_and_largest_id(dst, id_col)

@@ -17,14 +17,14 @@ from histmerge.functions.keys import (
     random_guid,
     url_hash,
 )
-from histmerge.operators.checks import dangling, orphan_visits
+from histmerge.operators.checks import dangling, orphan_visits, repeated
 from histmerge.operators.dimension import DimensionMerge, MergeRules, merge_dimension
 from histmerge.operators.facts import FactMerge, merge_facts
 from histmerge.operators.lookup import remap
 from histmerge.operators.score import rescore
 from histmerge.operators.stats import anything_moved, merge_stats, meta_upsert, run_metadata
 from histmerge.sources.publish import Publication
-from histmerge.sources.schema import TABLES, check_contract
+from histmerge.sources.schema import TABLES, UNIQUE, check_contract
 from histmerge.sources.tables import History
 from histmerge.workspace import Workspace
 
@@ -167,7 +167,8 @@ def unmapped_visits(visits: DataFrame, places: DataFrame) -> DataFrame:
 def validate(history: History, stats: Mapping[str, int], strict: bool = False) -> None:
     """Raise unless something moved and every visit has its place.
 
-    ``strict`` also refuses places that refer to an origin that is not there.
+    ``strict`` also refuses places that refer to an origin that is not there,
+    and ids, guids or keys that occur twice.
     """
     if not anything_moved(stats):
         raise NoDataError("no data was merged")
@@ -178,6 +179,10 @@ def validate(history: History, stats: Mapping[str, int], strict: bool = False) -
         lost = dangling(history.places, "origin_id", history.origins).agg(F.sum("rows")).first()[0]
         if lost:
             raise ValidationError(f"{lost} places refer to a missing origin")
+        for table, key in UNIQUE:
+            twice = repeated(getattr(history, table), key).first()["repeated"]
+            if twice:
+                raise ValidationError(f"{twice} values of {'+'.join(key)} repeat in {table}")
 
 
 def run_merge(

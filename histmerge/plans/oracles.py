@@ -259,6 +259,13 @@ line_dst AS (
 """
 
 
+def _repeated(name: str, table: str, key: str) -> str:
+    return (
+        f"SELECT '{name}' AS table_name, (SELECT count(*) FROM (SELECT {key} FROM {table}"
+        f" GROUP BY {key} HAVING count(*) > 1)) AS repeated"
+    )
+
+
 def _plain(select: str, more: str) -> str:
     return "WITH " + more.strip().rstrip(",") + "\n" + select
 
@@ -415,6 +422,17 @@ def oracle_sql() -> dict[str, str]:
             f" ({ORPHANS.format('visits_inserted')})",
             UP_TO_STATS,
         ),
+        "repeated_keys": with_views(
+            " UNION ALL ".join(
+                [
+                    _repeated("merged origins", "merged_origins", "prefix, host"),
+                    _repeated("merged places", "merged_places", "guid"),
+                    _repeated("source places", "sp", "url_hash, url"),
+                    _repeated("source visits", "sv", "place_id, visit_date, visit_type"),
+                ]
+            ),
+            UP_TO_PLACES,
+        ),
         "merge_history_counts": with_views(
             "SELECT 'origins' AS table_name, (SELECT count(*) FROM dor) AS rows_before,"
             " (SELECT count(*) FROM merged_origins) AS rows_after"

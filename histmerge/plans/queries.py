@@ -203,6 +203,21 @@ def _incremental(i: Inputs) -> DataFrame:
     return target.read("visits").select(*K.VISIT_KEY)
 
 
+def _repeated(i: Inputs) -> DataFrame:
+    """Repeated keys of the merged tables, and of the source before its merge."""
+    checked = {
+        "merged origins": (i.origins.table, K.ORIGIN_KEY),
+        "merged places": (i.places.table, ["guid"]),
+        "source places": (i.src.places, K.PLACE_KEY),
+        "source visits": (i.src.visits, K.VISIT_KEY),
+    }
+    counted = [
+        checks.repeated(df, key).withColumn("table_name", F.lit(name))
+        for name, (df, key) in checked.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def _site(i: Inputs) -> tuple[DataFrame, DataFrame]:
     """Pages as a catalog of names and paths, and what is looked up in it."""
     site = derived_view("site_pages", pages=i.table("pages")).select(
@@ -351,6 +366,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "validation_report": lambda i: checks.validation_report(
         i.stats, i.places.table, i.dst.visits, i.visits.inserted
     ),
+    "repeated_keys": _repeated,
     "merge_history_counts": _merged_counts,
     "publish_versioned": _publish,
     "incremental_visits": _incremental,

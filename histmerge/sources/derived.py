@@ -22,9 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from histmerge.sources.schema import META, empty_table
 from histmerge.sources.tables import History, scan_origins, scan_places, scan_visits
 
-# Tokens: microseconds of a timestamp without zone; 60 bits of a text's MD5.
+# Tokens: microseconds of a timestamp without zone, whatever the session's zone;
+# 60 bits of a text's MD5.
 SPARK = {
-    "micros": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {0})",
+    "micros": (
+        "(unix_date(CAST({0} AS DATE)) * 86400000000L + hour({0}) * 3600000000L"
+        " + minute({0}) * 60000000L + CAST(extract(SECOND FROM {0}) * 1000000 AS BIGINT))"
+    ),
     "hash60": "CAST(conv(substr(md5({0}), 1, 15), 16, 10) AS BIGINT)",
 }
 DUCKDB = {

@@ -100,6 +100,16 @@ META = [
     Field("value", T.StringType(), nullable=False),
 ]
 
+# What no two rows of a published table may share.
+UNIQUE = [
+    ("origins", ["id"]),
+    ("origins", ["prefix", "host"]),
+    ("places", ["id"]),
+    ("places", ["guid"]),
+    ("visits", ["id"]),
+    ("meta", ["key"]),
+]
+
 TABLES = {"origins": ORIGINS, "places": PLACES, "visits": VISITS, "meta": META}
 
 

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from histmerge.functions.keys import ORIGIN_KEY, PLACE_KEY, VISIT_KEY
 from histmerge.sources.schema import META, ORIGINS, PLACES, TABLES, VISITS, conform, empty_table
@@ -102,9 +101,3 @@ def refuse_same_side(src: str, dst: str) -> None:
     """Raise when two locations (paths or table names) are the same place."""
     if _resolved(src) == _resolved(dst):
         raise SameSideError(f"source and destination are both {src}")
-
-
-def keyed(df: DataFrame, key: list[str]) -> DataFrame:
-    """``df`` with NULL text in its key read as empty, so that it still joins."""
-    text = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in key if c in text})

@@ -135,7 +135,10 @@ def test_strict_run_refuses_a_missing_origin(spark, history, tmp_path):
     target = Publication(spark, str(tmp_path / "out"))
     with pytest.raises(ValidationError, match="missing origin"):
         run_merge(src, history(), target, NOW, Workspace(spark), strict=True)
-    run_merge(src, history(), target, NOW, Workspace(spark))
+    assert target.current() == 0
+    twice = history(places=[place(1, "u", 1, 1, guid="g"), place(2, "v", 1, 1, guid="g")])
+    with pytest.raises(ValidationError, match="1 values of guid repeat in places"):
+        run_merge(history(**BASE), twice, target, NOW, Workspace(spark), strict=True)
 
 
 def test_undefined_score_is_refused(spark, history, tmp_path):
@@ -230,7 +233,7 @@ def values(side: dict, table: str) -> list[tuple]:
     return [tuple(row.values()) for row in side[table]]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 @pytest.mark.parametrize("way", ["small", "large"])
 def test_merge_equals_a_row_by_row_replay(spark, history, work, monkeypatch, seed, way):
     if way == "large":  # no broadcasts, every key that repeats is spread

@@ -41,7 +41,7 @@ def way(request, monkeypatch):
 
 
 @pytest.fixture
-def merged_places(spark, history, work, way):
+def merged_places(spark, history, work):
     def merge(src, dst=(), ids=()):
         id_map = spark.createDataFrame(list(ids), "old_id bigint, new_id bigint")
         return merge_places(history(places=src).places, history(places=dst).places, id_map, work)
@@ -73,15 +73,17 @@ def test_matched_place_combines_counters_flags_dates_and_origin_only(merged_plac
     assert tuple(got.stats.first()) == (1, 0, 1)
 
 
-@pytest.mark.parametrize(
-    ("src", "dst", "want"), [(None, 5, 5), (5, None, 5), (None, None, None), (9, 5, 9), (5, 9, 9)]
-)
-def test_last_visit_date(merged_places, src, dst, want):
-    got = merged_places([place(1, "u", 1, last=src)], [place(1, "u", 1, last=dst)])
-    assert rows(got.table, "last_visit_date") == [(want,)]
+def test_the_later_date_wins_and_a_missing_one_gives_way(merged_places):
+    dates = [(None, 5, 5), (5, None, 5), (None, None, None), (9, 5, 9), (5, 9, 9)]
+    src = [place(n + 1, "u", n, last=there) for n, (there, _, _) in enumerate(dates)]
+    dst = [place(n + 1, "u", n, last=here) for n, (_, here, _) in enumerate(dates)]
+    got = merged_places(src, dst)
+    assert rows(got.table, "url_hash", "last_visit_date") == [
+        (n, want) for n, (_, _, want) in enumerate(dates)
+    ]
 
 
-def test_repeated_new_key_takes_the_first_row_and_merges_the_others(merged_places):
+def test_repeated_new_key_takes_the_first_row_and_merges_the_others(merged_places, way):
     src = [
         place(30, "u", 1, 1, False, 0, 1, None, origin=60, score=3, title="third"),
         place(10, "u", 1, 2, False, 4, 1, 50, origin=50, flag=0, score=1, title="first"),
@@ -99,17 +101,15 @@ def test_repeated_new_key_takes_the_first_row_and_merges_the_others(merged_place
     assert tuple(got.stats.first()) == (4, 2, 2)
 
 
-def test_last_known_origin_wins_over_a_later_missing_one(merged_places):
-    src = [place(1, "u", 1, origin=50), place(2, "u", 1, origin=None), place(3, "u", 1, origin=99)]
-    got = merged_places(src, [place(5, "u", 1, origin=7)], [(50, 8)])
-    assert rows(got.table, "origin_id") == [(8,)]
-
-
-def test_unmapped_origin_stays_raw_on_insert_and_keeps_the_old_one_on_merge(merged_places):
-    got = merged_places(
-        [place(1, "new", 1, origin=77), place(2, "old", 2, origin=77)], [place(5, "old", 2, origin=3)]
-    )
-    assert rows(got.table, "url", "origin_id") == [("new", 77), ("old", 3)]
+def test_origins_of_merged_and_inserted_places(merged_places):
+    """The last known origin wins; an unknown one keeps the old value, or its raw id."""
+    src = [
+        place(1, "u", 1, origin=50), place(2, "u", 1, origin=None), place(3, "u", 1, origin=99),
+        place(4, "new", 1, origin=77),
+        place(5, "old", 2, origin=77),
+    ]
+    got = merged_places(src, [place(5, "u", 1, origin=7), place(6, "old", 2, origin=3)], [(50, 8)])
+    assert rows(got.table, "url", "origin_id") == [("new", 77), ("old", 3), ("u", 8)]
 
 
 def test_missing_url_counts_as_the_empty_one(merged_places):
@@ -117,15 +117,18 @@ def test_missing_url_counts_as_the_empty_one(merged_places):
     assert rows(got.table, "id", "url", "visit_count") == [(9, "", 3)]
 
 
-def test_repeated_destination_key_merges_into_the_largest_id(merged_places):
+def test_repeated_destination_key_merges_into_the_largest_id(merged_places, way):
     got = merged_places([place(1, "u", 1, 5)], [place(2, "u", 1, 10), place(9, "u", 1, 20)])
     assert rows(got.table, "id", "visit_count") == [(2, 10), (9, 25)]
     assert rows(got.id_map) == [(1, 9)]
 
 
-def test_unknown_rule_is_refused():
+def test_unfit_rules_are_refused(history, work, table):
     with pytest.raises(ValueError, match="median"):
         MergeRules({"a": "median"})
+    places, ids = history().places, {"origin_id": table("old_id new_id")}
+    with pytest.raises(ValueError, match="origin_id is translated"):
+        merge_dimension(places, places, ["url"], work, MergeRules({"origin_id": "max"}), id_maps=ids)
 
 
 def test_generic_dimension_with_fresh_columns_on_insert(spark, work):
