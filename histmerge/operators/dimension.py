@@ -34,8 +34,8 @@ class MergeRules:
     """What a merge does with the columns of a table.
 
     ``combine``: column to rule. "sum" adds, "or" is true where either is,
-    "max" takes the larger and lets a missing value give way, "last" takes the
-    last non-missing source value and otherwise keeps what is there.
+    "max" takes the larger, "last" takes the last source value. In each a
+    missing value gives way to one that is there.
     ``flag``: a column set to 1 on every row that was combined with another.
     ``on_insert``: columns computed anew for inserted rows.
     """
@@ -121,9 +121,9 @@ def _joined_value(column: str, rule: str) -> Column:
     """The destination's value combined with the group's ``_column``."""
     here, there = F.col(column), F.col(f"_{column}")
     if rule == "sum":
-        return here + there
+        return F.coalesce(here + there, here, there)
     if rule == "or":
-        return here | there
+        return F.coalesce(here | there, here, there)
     if rule == "max":
         return F.greatest(here, there)
     return F.coalesce(there, here)
@@ -141,12 +141,15 @@ def merge_dimension(
 ) -> DimensionMerge:
     """Merge ``src`` into ``dst``; both have the key columns and ``id_col``.
 
-    ``id_maps`` translates foreign keys combined by "last": the last id that the
-    map holds wins, and an inserted row without any keeps its raw id.
+    Key columns hold no NULL (``conform`` reads missing required text as empty),
+    and ids are unique on each side. ``id_maps`` translates foreign keys combined
+    by "last": the last id that the map holds wins, and an inserted row without
+    any keeps its raw id.
 
     Movement of data: the keys of both sides and the source's combined columns
-    once, reduced; the new keys once more, by range, to number them in order. The full rows of either side move at most once, by their
-    unique id, and not at all where the other side of that join is small.
+    once, reduced; the new keys once more, by range, to number them in order.
+    The full rows of either side move at most once, by their unique id, and not
+    at all where the other side of that join is small.
     """
     rules = rules or MergeRules()
     columns = dst.columns

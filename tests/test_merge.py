@@ -131,6 +131,23 @@ def test_unfit_rules_are_refused(history, work, table):
         merge_dimension(places, places, ["url"], work, MergeRules({"origin_id": "max"}), id_maps=ids)
 
 
+def test_missing_values_give_way_in_every_rule(spark, work):
+    columns = "id bigint, k string, n bigint, f boolean, m bigint, l bigint"
+    src = spark.createDataFrame(
+        [(1, "a", None, None, None, None), (2, "b", 5, True, 5, 5), (3, "c", 2, False, 2, 2),
+         (4, "c", None, None, None, None)], columns)
+    dst = spark.createDataFrame(
+        [(10, "a", 1, False, 1, 1), (11, "b", None, None, None, None)], columns
+    )
+    rules = MergeRules({"n": "sum", "f": "or", "m": "max", "l": "last"})
+    got = merge_dimension(src, dst, ["k"], work, rules)
+    assert rows(got.table) == [
+        (10, "a", 1, False, 1, 1),
+        (11, "b", 5, True, 5, 5),
+        (12, "c", 2, False, 2, 2),
+    ]
+
+
 def test_generic_dimension_with_fresh_columns_on_insert(spark, work):
     src = spark.createDataFrame([(1, "a", 2), (2, "b", 3)], "key bigint, url string, n bigint")
     dst = spark.createDataFrame([(10, "b", 1)], "key bigint, url string, n bigint")
