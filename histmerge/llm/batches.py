@@ -9,8 +9,12 @@ once is bounded (``SLICE_BYTES``, one row at least).
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -173,12 +177,33 @@ def map_slices(
     return map_batches(df, run, schema)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Have Spark hand this package to its Python tasks, once per application,
+    unless they find it by their own path (``PYTHONPATH`` or installed)."""
+    root = Path(__file__).resolve().parents[2]
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    known = any(p and Path(p).resolve() == root for p in paths)
+    app = spark.sparkContext.applicationId
+    if known or "site-packages" in root.parts or app in _shipped:
+        return
+    _shipped.add(app)
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / "histmerge_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "histmerge").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def map_batches(
     df: DataFrame,
     work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | T.StructType,
 ) -> DataFrame:
     """``mapInArrow`` with a bound on the rows of a batch."""
+    ship_package(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -424,7 +424,7 @@ def similar_groups(
             if len(tokens):
                 yield batch.filter(pa.array(marked(marks.value, tokens)))
 
-    sifted = first.mapInArrow(sift, "token long, key binary, n int")
+    sifted = map_batches(first, sift, "token long, key binary, n int")
     # Copies of a set come from several tasks.
     pairs = work.keep(sifted.join(shared, "token").distinct(), "shared-prefixes")
     number = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")

@@ -5,8 +5,11 @@ of their n-gram presence sets (a blended spectrum kernel on presence). A bounded
 sample of labelled texts is drawn for each language; some of it are landmarks.
 The Nyström map sends a text to its kernel values with the landmarks, whitened
 by the landmarks' own kernel; kernel ridge regression in that space gives one
-scorer for each language against the rest. A batch of texts is scored by two
-matrix products: presence by landmarks, then by the scorers.
+scorer for each language against the rest. As presence says nothing of how often
+an n-gram occurs, a text is scored in pieces of ``PIECE`` bytes, all of them, and
+its score is their mean by length: a quotation in another language weighs what it
+is long. A batch of pieces is scored by one matrix product of their presence with
+the landmarks' presence, to which the scorers were applied beforehand.
 
 The n-grams are taken over a 64-symbol folding of the UTF-8 bytes (letters
 without case, one symbol for other ASCII, 32 for bytes beyond ASCII), so that a
@@ -33,6 +36,8 @@ from histmerge.llm.batches import Texts, map_slices, with_columns
 SAMPLE, LANDMARKS, RIDGE = 250, 40, 1e-3
 #: Only texts of at most so many bytes are drawn for the sample.
 SAMPLE_BYTES = 50_000
+#: Bytes of a piece, and pieces scored at once.
+PIECE, PIECES_AT_ONCE = 1024, 256
 UNKNOWN = "und"
 
 SYMBOLS = np.zeros(256, np.int32)
@@ -80,15 +85,37 @@ class Vocabulary:
         return out
 
 
+def pieces(texts: Texts, size: int = PIECE) -> tuple[Texts, np.ndarray]:
+    """The texts cut into equal parts of ``size`` bytes at most; the row of each part."""
+    length = np.diff(texts.offsets)
+    count = np.maximum(1, -(-length // size))
+    row = np.repeat(np.arange(len(texts)), count)
+    turn = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    start = texts.offsets[row] + turn * length[row] // count[row]
+    return Texts(texts.data, np.append(start, len(texts.data))), row
+
+
 @dataclass
 class Model:
+    """``projection`` is the landmarks' presence times the scorers, ``bias`` theirs."""
+
     languages: list[str]
     vocabulary: Vocabulary
-    landmarks: np.ndarray
-    scorers: np.ndarray
+    projection: np.ndarray
+    bias: np.ndarray
 
     def scores(self, texts: Texts) -> np.ndarray:
-        return (self.vocabulary.presence(texts) @ self.landmarks) @ self.scorers
+        """A score for each text (row) and language (column)."""
+        parts, row = pieces(texts)
+        out = np.zeros((len(texts), len(self.languages)))
+        length = np.diff(parts.offsets)
+        for lo in range(0, len(parts), PIECES_AT_ONCE):
+            hi = min(lo + PIECES_AT_ONCE, len(parts))
+            a, b = parts.offsets[lo], parts.offsets[hi]
+            some = Texts(parts.data[a:b], parts.offsets[lo : hi + 1] - a)
+            found = self.vocabulary.presence(some) @ self.projection + self.bias
+            np.add.at(out, row[lo:hi], found * length[lo:hi, None])
+        return out / np.maximum(np.diff(texts.offsets), 1)[:, None]
 
 
 def texts_of(values: list[str]) -> Texts:
@@ -109,12 +136,17 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     marks = texts_of([texts[i] for i in chosen])
     vocabulary = Vocabulary.of(gram_codes(marks)[1])
     basis = vocabulary.presence(marks)
-    parts = [texts_of(texts[i : i + 128]) for i in range(0, len(texts), 128)]
-    kernel = np.concatenate([vocabulary.presence(p) @ basis.T for p in parts]).astype(np.float64)
+    parts, row = pieces(texts_of(texts))
+    label = label[row]
+    kernel = []
+    for lo in range(0, len(parts), PIECES_AT_ONCE):
+        a, b = parts.offsets[[lo, min(lo + PIECES_AT_ONCE, len(parts))]]
+        some = Texts(parts.data[a:b], parts.offsets[lo : lo + PIECES_AT_ONCE + 1] - a)
+        kernel.append(vocabulary.presence(some) @ basis.T)
     values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
     usable = values > 1e-6 * max(values.max(), 1e-12)
     whiten = vectors[:, usable] / np.sqrt(values[usable])
-    mapped = kernel @ whiten
+    mapped = np.concatenate(kernel).astype(np.float64) @ whiten
     # Each language weighs the same, however often it was drawn; a bias column.
     mapped = np.hstack([mapped, np.ones((len(mapped), 1))])
     weight = (1 / np.bincount(label, minlength=len(names)))[label][:, None]
@@ -122,8 +154,7 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     square = mapped.T @ (weight * mapped) + ridge * np.eye(mapped.shape[1])
     solved = np.linalg.solve(square, mapped.T @ (weight * target))
     scorers = whiten @ solved[:-1]
-    # The bias rides on an added landmark column that is always one.
-    return Model(names, vocabulary, basis.T.copy(), np.vstack([scorers, solved[-1:]]).astype(np.float32))
+    return Model(names, vocabulary, (basis.T @ scorers).astype(np.float32), solved[-1])
 
 
 def labelled_sample(docs: DataFrame, size: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
@@ -165,17 +196,11 @@ def identify(
         names, score = [UNKNOWN] * n, np.zeros(n)
         if model is not None:
             letters = has_letter(texts)
-            for lo in range(0, n, 128):
-                hi = min(lo + 128, n)
-                a, b = texts.offsets[lo], texts.offsets[hi]
-                chunk = Texts(texts.data[a:b], texts.offsets[lo : hi + 1] - a)
-                kernel = model.vocabulary.presence(chunk) @ model.landmarks
-                found = kernel @ model.scorers[:-1] + model.scorers[-1]
-                best = found.argmax(1)
-                certain = np.clip((found[np.arange(hi - lo), best] + 1) / 2, 0, 1)
-                for k in np.flatnonzero(letters[lo:hi]):
-                    names[lo + k] = model.languages[best[k]]
-                    score[lo + k] = certain[k]
+            found = model.scores(texts)
+            best = found.argmax(1)
+            certain = np.clip((found[np.arange(n), best] + 1) / 2, 0, 1)
+            for k in np.flatnonzero(letters):
+                names[k], score[k] = model.languages[best[k]], certain[k]
         ids = part.column(part.schema.get_field_index("doc_id"))
         return pa.record_batch(
             [ids, pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from histmerge.llm.batches import map_batches
+
 #: Bits of a bitmap: 2**26 bits are 8 MB.
 MARK_BITS = 26
 
@@ -43,7 +45,7 @@ def bitmap(keys: DataFrame, bits: int = MARK_BITS, parts: int = 32) -> np.ndarra
 
     dealt = keys.select("h").repartition(parts, F.shiftright(F.col("h").bitwiseAND((1 << bits) - 1), span.bit_length() - 1))
     out = np.zeros((parts, span // 8), np.uint8)
-    for r in dealt.mapInArrow(mark, "part int, marks binary").collect():
+    for r in map_batches(dealt, mark, "part int, marks binary").collect():
         out[r["part"]] = np.frombuffer(r["marks"], np.uint8)
     return out.reshape(-1)
 

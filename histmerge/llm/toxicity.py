@@ -36,8 +36,10 @@ from histmerge.llm.batches import (
 
 BITS = 20
 #: Most rows of each label in the training sample; passes over it.
-SAMPLE, PASSES = 2_500, 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+SAMPLE = 2_500
+#: Rows seen in training, repeats included, and most passes over a small sample.
+STEPS, PASSES = 20_000, 20
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 THRESHOLD = 0.7
 
 WORD = np.zeros(256, bool)
@@ -74,9 +76,7 @@ class Weights:
         return out
 
 
-def train(
-    rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, passes: int = PASSES
-) -> Weights:
+def train(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> Weights:
     """FTRL-proximal over the rows (distinct coordinates each), in a fixed order."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     bias = np.array([1 << bits])
@@ -87,7 +87,7 @@ def train(
         return -shrunk / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
 
     order = np.random.Generator(np.random.PCG64(7))
-    for _ in range(passes):
+    for _ in range(min(PASSES, -(-STEPS // max(1, len(rows))))):
         for k in order.permutation(len(rows)):
             at = np.concatenate([rows[k], bias])
             w = weights(at)
