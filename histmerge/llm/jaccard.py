@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard join by prefix trees.
 
 A document's set is its distinct word shingles, as 64-bit ids whose numbers
-follow one global order: rare shingles first, by a count over all documents in
-a sketch of fixed size, then by hash. Two sets that are similar enough share a
+follow one global order: shingles of one set alone first, then rare ones, by
+counts over all documents in tables of fixed size, then by hash. Two sets that are similar enough share a
 shingle among the first few of either one (the prefix), so a pair is looked for
 only below a prefix shingle that both have.
 
@@ -44,7 +44,6 @@ from histmerge.llm.batches import (
     binaries,
     distinct_by_row,
     map_batches,
-    map_slices,
     mix,
     slices,
     windows,
@@ -56,8 +55,10 @@ from histmerge.workspace import Workspace
 
 #: Words of a shingle, and least similarity in percent.
 WORDS, PERCENT = 5, 80
-#: 2**SKETCH_BITS counters of shingles; the tasks get one byte for each.
-SKETCH_BITS = 20
+#: The tables of the global order: 2**SKETCH_BITS bytes and 2**REPEAT_BITS bits (32 MB).
+SKETCH_BITS, REPEAT_BITS = 20, 28
+#: Bits of a hash that are counted, and codes that a task sorts at once.
+CODE_BITS, CODES_AT_ONCE = 44, 1 << 21
 #: Most sets that meet in one tree; more are dealt out in blocks of half as many.
 MOST_SETS = 20_000
 WORD = ~SPACES
@@ -92,10 +93,38 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(2 * np.log2(counts + 1.0), 63).astype(np.uint8)
 
 
-def ordered_ids(values: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Ids in the global order: the level, then 58 bits of the hash."""
-    bucket = (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    return (level[bucket].astype(np.uint64) << np.uint64(58)) | (mix(values) >> np.uint64(6))
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Sorted codes as differences, their bytes by place, so that they shrink when compressed."""
+    steps = np.diff(codes, prepend=np.uint64(0)).astype("<u8")
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_codes(blob: bytes) -> np.ndarray:
+    steps = np.frombuffer(blob, np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+class Order:
+    """The global order of shingles, from tables of fixed size.
+
+    ``repeated`` has a bit for the first ``REPEAT_BITS`` bits of a hash, set if
+    any shingle there occurs in more than one set; ``level`` a byte for the
+    first ``SKETCH_BITS``, the level of how many do. Shingles that occur once
+    come first, then rare ones.
+    """
+
+    def __init__(self, repeated: np.ndarray, level: np.ndarray):
+        self.repeated, self.level = repeated, level
+
+    def ids(self, values: np.ndarray) -> np.ndarray:
+        at = (values >> np.uint64(64 - REPEAT_BITS)).astype(np.int64)
+        again = (self.repeated[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        level = self.level[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        return (
+            (again.astype(np.uint64) << np.uint64(63))
+            | (level.astype(np.uint64) << np.uint64(57))
+            | (mix(values) >> np.uint64(7))
+        )
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -103,114 +132,167 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def scan(docs: DataFrame, words: int, work: Workspace) -> tuple[DataFrame, np.ndarray]:
-    """Every document's size and set digest, and the levels of the sketch."""
-    parts = 16
+def new_sets(
+    batches: Iterator[pa.RecordBatch], words: int
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a task's batches with rows, hashes, digests, and which rows have
+    a set that the task has not met before."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        for part, texts in slices(batch):
+            rows, values = shingle_sets(texts, words)
+            keys = digests(rows, values, len(texts))
+            new = np.bincount(rows, minlength=len(texts)) > 0
+            for k in np.flatnonzero(new):
+                key = keys[k].tobytes()
+                new[k] = key not in seen
+                seen.add(key)
+            yield part, rows, values, keys, new
+
+
+def global_order(docs: DataFrame, words: int) -> Order:
+    """Counts over all documents' sets, each task's own copies left out."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    bits = min(14, max(6, (partitions - 1).bit_length()))
+    parts, counters = 1 << bits, (1 << SKETCH_BITS) >> bits
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "text_key", "n", "key", "part", "counts"]
-        for batch in batches:
-            for part, texts in slices(batch):
-                rows, values = shingle_sets(texts, words)
-                n = len(texts)
-                total += np.bincount(
-                    (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)
-                )
-                keys = digests(rows, values, n)
-                yield pa.record_batch(
-                    [
-                        part.column(0), part.column(1),
-                        pa.array(np.bincount(rows, minlength=n)),
-                        binaries([k.tobytes() for k in keys]),
-                        pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-                    ],
-                    names,
-                )
-        cut = np.split(total, parts)
-        yield pa.record_batch(
-            [
-                pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.string()), pa.nulls(parts, pa.int64()),
-                pa.nulls(parts, pa.binary()), pa.array(range(parts), pa.int32()),
-                binaries([zlib.compress(x.astype("<u4").tobytes(), 1) for x in cut]),
-            ],
-            names,
-        )
+        held: list[np.ndarray] = []
+        size = 0
+
+        def codes() -> pa.RecordBatch:
+            found = np.sort(np.concatenate(held))
+            # Twice is as good as often.
+            keep = np.ones(len(found), bool)
+            keep[2:] = found[2:] != found[:-2]
+            found = found[keep]
+            cuts = np.searchsorted(found >> np.uint64(CODE_BITS - bits), np.arange(parts + 1))
+            blobs = [pack_codes(found[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return pa.record_batch(
+                [pa.array(range(parts), pa.int32()), binaries(blobs), pa.nulls(parts, pa.binary())],
+                ["part", "codes", "counts"],
+            )
 
-    plain = with_columns(docs, {"doc_id": "long", "text": "string"}).select(
-        "doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text"
-    )
-    schema = "doc_id long, text_key string, n long, key binary, part int, counts binary"
-    found = work.keep(map_batches(plain, read, schema), "scanned")
+        for _, rows, values, _, new in new_sets(batches, words):
+            values = values[new[rows]]
+            total += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            held.append(values >> np.uint64(64 - CODE_BITS))
+            size += len(values)
+            if size >= CODES_AT_ONCE:
+                yield codes()
+                held.clear()
+                size = 0
+        if size:
+            yield codes()
+        blobs = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(total, parts)]
+        yield pa.record_batch(
+            [pa.array(range(parts), pa.int32()), pa.nulls(parts, pa.binary()), binaries(blobs)],
+            ["part", "codes", "counts"],
+        )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        here: int | None = None
+        held: list[np.ndarray] = []
+        total = np.zeros(counters, np.int64)
+        span = 1 << (REPEAT_BITS - bits)
+
+        def result() -> pa.RecordBatch:
+            found = np.sort(np.concatenate([np.empty(0, np.uint64), *held]))
+            again = found[1:][found[1:] == found[:-1]] >> np.uint64(CODE_BITS - REPEAT_BITS)
+            marks = np.zeros(span, bool)
+            marks[again.astype(np.int64) % span] = True
+            return pa.record_batch(
+                [pa.array([here], pa.int32()), binaries([np.packbits(marks).tobytes()]),
+                 binaries([levels(total).tobytes()])],
+                ["part", "repeated", "level"],
+            )
+
         for batch in batches:
-            for part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one = np.frombuffer(zlib.decompress(blob), "<u4").astype(np.int64)
-                sums[part] = sums[part] + one if part in sums else one
-        if sums:
-            blobs = [levels(x).tobytes() for x in sums.values()]
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), binaries(blobs)], ["part", "level"])
-
-    counts = found.where("part is not null").select("part", "counts").repartition(parts, "part")
-    level = np.zeros((parts, (1 << SKETCH_BITS) // parts), np.uint8)
-    for r in map_batches(counts, add, "part int, level binary").collect():
+            for part, blob, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != here:
+                    if here is not None:
+                        yield result()
+                    here, total = part, np.zeros(counters, np.int64)
+                    held.clear()
+                if blob is not None:
+                    held.append(unpack_codes(blob))
+                if counts is not None:
+                    total += np.frombuffer(zlib.decompress(counts), "<u4")
+        if here is not None:
+            yield result()
+
+    texts = with_columns(docs, {"text": "string"})
+    found = map_batches(texts, read, "part int, codes binary, counts binary")
+    dealt = found.repartition(parts, "part").sortWithinPartitions("part")
+    repeated = np.zeros((parts, (1 << REPEAT_BITS) // 8 // parts), np.uint8)
+    level = np.zeros((parts, counters), np.uint8)
+    for r in map_batches(dealt, add, "part int, repeated binary, level binary").collect():
+        repeated[r["part"]] = np.frombuffer(r["repeated"], np.uint8)
         level[r["part"]] = np.frombuffer(r["level"], np.uint8)
-    return found.where("part is null").select("doc_id", "text_key", "n", "key"), level.reshape(-1)
+    return Order(repeated.reshape(-1), level.reshape(-1))
 
 
-def _sets(docs: DataFrame, words: int, level, emit, schema: str) -> DataFrame:
-    """``emit(key, ids)`` for every distinct set of a task, ids in global order."""
+def scan(docs: DataFrame, words: int, percent: int, order, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Every document's size and set digest (``doc_id, text_key, n, key``), and
+    ``token, place, key, n``: of each set the first ids that another set may have
+    too, with their place in its order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            for _, texts in slices(batch):
-                rows, values = shingle_sets(texts, words)
-                keys = digests(rows, values, len(texts))
-                ids = ordered_ids(values, level.value)
-                order = np.lexsort((ids, rows))
-                ids, cuts = ids[order], np.searchsorted(rows, np.arange(len(texts) + 1))
-                new = []
-                for k in range(len(texts)):
-                    if cuts[k + 1] > cuts[k] and (key := keys[k].tobytes()) not in seen:
-                        seen.add(key)
-                        new.append((key, ids[cuts[k] : cuts[k + 1]]))
-                if new:
-                    yield emit(new)
-
-    return map_batches(with_columns(docs, {"text": "string"}), run, schema)
-
-
-def prefixes(docs: DataFrame, words: int, percent: int, level) -> DataFrame:
-    """``token, key, n``: the first ids of each set that could hold a shared one."""
-
-    def emit(sets: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
-        n = np.array([len(ids) for _, ids in sets])
-        size = prefix_size(n, percent)
-        tokens = np.concatenate([ids[:k] for (_, ids), k in zip(sets, size, strict=True)])
-        keys = binaries([key for key, _ in sets]).take(pa.array(np.repeat(np.arange(len(n)), size)))
-        return pa.record_batch(
-            [pa.array(tokens.view(np.int64)), keys, pa.array(np.repeat(n, size).astype(np.int32))],
-            ["token", "key", "n"],
-        )
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "text_key", "n", "key", "token", "place"]
+        for part, rows, values, keys, new in new_sets(batches, words):
+            n = len(part)
+            count = np.bincount(rows, minlength=n)
+            blobs = binaries([k.tobytes() for k in keys])
+            yield pa.record_batch(
+                [
+                    part.column(0), part.column(1), pa.array(count), blobs,
+                    pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                ],
+                names,
+            )
+            chosen = new[rows]
+            rows, ids = rows[chosen], order.value.ids(values[chosen])
+            rank = np.lexsort((ids, rows))
+            rows, ids = rows[rank], ids[rank]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            some = (place < prefix_size(count, percent)[rows]) & (ids >> np.uint64(63) == 1)
+            rows, ids, place = rows[some], ids[some], place[some]
+            nothing = pa.nulls(len(rows), pa.int64())
+            yield pa.record_batch(
+                [
+                    nothing, pa.nulls(len(rows), pa.string()), pa.array(count[rows]),
+                    blobs.take(pa.array(rows)), pa.array(ids.view(np.int64)), pa.array(place),
+                ],
+                names,
+            )
 
-    return _sets(docs, words, level, emit, "token long, key binary, n int")
+    plain = with_columns(docs, {"doc_id": "long", "text": "string"}).select(
+        "doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text"
+    )
+    schema = "doc_id long, text_key string, n long, key binary, token long, place long"
+    found = work.keep(map_batches(plain, read, schema), "scanned")
+    return (
+        found.where("token is null").select("doc_id", "text_key", "n", "key"),
+        found.where("token is not null").select("token", "place", "key", "n"),
+    )
 
 
-def wanted_sets(docs: DataFrame, words: int, level, marks) -> DataFrame:
-    """``key, ids`` of the sets whose key is marked."""
+def wanted_sets(docs: DataFrame, words: int, order, marks) -> DataFrame:
+    """``key, ids`` of the sets whose key is marked, ids in the global order."""
 
-    def emit(sets: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
-        keys = np.array([int.from_bytes(key[:8], "big") for key, _ in sets], np.uint64)
-        hit = np.flatnonzero(marked(marks.value, keys))
-        return pa.record_batch(
-            [binaries([sets[k][0] for k in hit]), binaries([sets[k][1].tobytes() for k in hit])],
-            ["key", "ids"],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows, values, keys, new in new_sets(batches, words):
+            first = np.array([int.from_bytes(k[:8], "big") for k in map(bytes, keys)], np.uint64)
+            hit = np.flatnonzero(new & marked(marks.value, first))
+            cuts = np.searchsorted(rows, np.arange(len(part) + 1))
+            ids = [np.sort(order.value.ids(values[cuts[k] : cuts[k + 1]])) for k in hit]
+            yield pa.record_batch(
+                [binaries([keys[k].tobytes() for k in hit]), binaries([x.tobytes() for x in ids])],
+                ["key", "ids"],
+            )
 
-    return _sets(docs, words, level, emit, "key binary, ids binary")
+    return map_batches(with_columns(docs, {"text": "string"}), run, "key binary, ids binary")
 
 
 class Node:
@@ -383,6 +465,71 @@ def tree_links(members: DataFrame, percent: int) -> DataFrame:
     return map_batches(dealt.sortWithinPartitions("token", "block", "key"), run, "a binary, b binary")
 
 
+def with_partner(n: np.ndarray, rest: np.ndarray, roots: list[bytes], percent: int) -> np.ndarray:
+    """Which sets could be similar to one of another group, if the id at hand is
+    the first that they share: both must have enough ids from there on.
+
+    A set asks for partners of ``most`` ids at most, and its partner asks the
+    same of it, so in order of size the largest ``most`` so far decides.
+    """
+    most = rest * (100 + percent) // percent - n
+    order = np.argsort(n, kind="stable")
+    size = n[order]
+    # Of the sets up to each size the largest bound, its group, and the largest of another group.
+    first, group, second = [], [], []
+    a, g, b = -1, None, -1
+    for k in order:
+        if roots[k] == g:
+            a = max(a, most[k])
+        elif most[k] > a:
+            a, g, b = most[k], roots[k], a
+        else:
+            b = max(b, most[k])
+        first.append(a)
+        group.append(g)
+        second.append(b)
+    upto = np.searchsorted(size, most, "right") - 1
+    out = np.zeros(len(n), bool)
+    for k in np.flatnonzero(upto >= 0):
+        j = upto[k]
+        out[k] = (second[j] if group[j] == roots[k] else first[j]) >= n[k]
+    return out
+
+
+def possible(members: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``members`` (``token, place, key, n, root``) with a possible partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+
+        def kept() -> pa.RecordBatch:
+            place, key, n, root = zip(*held, strict=True)
+            sizes = np.array(n)
+            use = np.flatnonzero(with_partner(sizes, sizes - np.array(place), list(root), percent))
+            return pa.record_batch(
+                [
+                    pa.array([here] * len(use), pa.int64()),
+                    binaries([key[k] for k in use]), binaries([root[k] for k in use]),
+                ],
+                ["token", "key", "root"],
+            )
+
+        for batch in batches:
+            for token, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if token != here and held:
+                    yield kept()
+                    held = []
+                here = token
+                held.append(row)
+        if held:
+            yield kept()
+
+    dealt = members.select("token", "place", "key", "n", "root").repartition("token")
+    return map_batches(
+        dealt.sortWithinPartitions("token", "key"), run, "token long, key binary, root binary"
+    )
+
+
 def in_blocks(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """A row for each block of ``members`` (``token, key``) that it has to meet in.
 
@@ -408,9 +555,8 @@ def similar_groups(
     that all documents have that are reachable by links; null for the empty set.
     """
     spark = docs.sparkSession
-    every, level = scan(docs, words, work)
-    level = spark.sparkContext.broadcast(level)
-    first = work.keep(prefixes(docs, words, percent, level), "prefixes")
+    order = spark.sparkContext.broadcast(global_order(docs, words))
+    every, first = scan(docs, words, percent, order, work)
     # Ids that only one set has in its prefix lead to no pair.
     of_token = first.groupBy("token").agg(
         F.count("*").alias("sets"), F.min("key").alias("a"), F.max("key").alias("b")
@@ -424,12 +570,12 @@ def similar_groups(
             if len(tokens):
                 yield batch.filter(pa.array(marked(marks.value, tokens)))
 
-    sifted = map_batches(first, sift, "token long, key binary, n int")
+    sifted = map_batches(first, sift, "token long, place long, key binary, n long")
     # Copies of a set come from several tasks.
     pairs = work.keep(sifted.join(shared, "token").distinct(), "shared-prefixes")
     number = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
     key_marks = spark.sparkContext.broadcast(bitmap(pairs.select("key").distinct().select(number.alias("h"))))
-    sets = wanted_sets(docs, words, level, key_marks)
+    sets = wanted_sets(docs, words, order, key_marks)
     known = pairs.select("key").distinct()
     sets = work.keep(sets.join(known, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
@@ -443,18 +589,29 @@ def similar_groups(
     links = work.keep(tree_links(at_home.join(sets, "key"), percent), "first-links")
     roots = components(links, work)
 
-    # Second round: every shared id that has sets of two groups.
-    grouped = pairs.select("token", "key").join(
+    # Second round: every shared id that has sets of two groups, which may be similar.
+    grouped = pairs.select("token", "place", "key", "n").join(
         roots.select(F.col("node").alias("key"), "root"), "key", "left"
-    ).select("token", "key", F.coalesce("root", "key").alias("root"))
+    ).withColumn("root", F.coalesce("root", "key"))
     grouped = work.keep(grouped, "grouped")
-    between = grouped.groupBy("token").agg(
-        F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("sets"),
-        F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
+    spread = grouped.groupBy("token").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("sets")
     ).where("a <> b")
+    mixed = grouped.join(spread.select("token", "sets"), "token")
+    # An id with more sets than a task may hold goes on unsifted, in blocks.
+    left = work.keep(
+        possible(mixed.where(F.col("sets") <= most), percent).unionAll(
+            mixed.where(F.col("sets") > most).select("token", "key", "root")
+        ),
+        "possible",
+    )
+    between = left.groupBy("token").agg(
+        F.count("*").alias("sets"),
+        F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
+    )
     # Ids with the very same sets lead to the same pairs: one of them is enough.
     once = between.groupBy("sets", "x", "y").agg(F.min("token").alias("token")).select("token", "sets")
-    members = in_blocks(grouped, work.keep(once, "second-tokens"), most)
+    members = in_blocks(left, work.keep(once, "second-tokens"), most)
     more = work.keep(tree_links(members.join(sets, "key"), percent), "second-links")
     roots = components(links.unionAll(more), work)
     return (
