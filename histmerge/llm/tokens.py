@@ -23,9 +23,11 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +36,8 @@ from histmerge.llm.batches import binaries, map_batches, with_columns
 from histmerge.workspace import Workspace
 
 END = 0
-#: Ids of a block, and pieces of text remembered by a task.
-BLOCK_IDS, MOST_PIECES = 1 << 18, 200_000
+#: Ids of a block, and pieces of text that a task remembers for its next batch.
+BLOCK_IDS, MOST_PIECES = 1 << 18, 600_000
 PIECES = re.compile(r"(?<=[^\s\u180e])(?= [^\s\u180e])")
 
 #: Bytes of each of a control byte's four ranks.
@@ -69,41 +71,81 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts, each distinct piece tokenized once."""
+    """Ids of whole texts, each distinct piece tokenized once.
+
+    A text is cut at every space. If a part is empty or has white space at an
+    end, the text is cut by ``PIECES`` instead; such parts are never remembered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self._forget()
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        # Pieces as they are, and parts that stand for a piece with a space before it.
+        self.plain: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}
+        self.ids, self.starts = np.empty(0, self.kind), np.zeros(1, np.int64)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = sorted(pieces.difference(self.known))
-        if len(self.known) + len(new) > MOST_PIECES:
-            self._forget()
-            new = sorted(pieces)
-        if not new:
+        """Keep the pieces met first; those are the frequent ones."""
+        n = MOST_PIECES // 2
+        self.plain = {p: k for p, k in self.plain.items() if k < n}
+        self.spaced = {p: k for p, k in self.spaced.items() if k < n}
+        self.starts = self.starts[: n + 1]
+        self.ids = self.ids[: self.starts[-1]]
+
+    def _learn(self, plain: set[str], spaced: set[str]) -> None:
+        new, more = plain.difference(self.plain), spaced.difference(self.spaced)
+        if not new and not more:
             return
-        found = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        ends = self.starts[-1] + np.cumsum([len(x) for x in found])
-        flat = np.fromiter((i for x in found for i in x), np.uint32)
-        self.ids, self.starts = np.concatenate([self.ids, flat]), np.concatenate([self.starts, ends])
+        new, more = sorted(new), sorted(more)
+        ids, counts = self._separately(new + [" " + x for x in more])
+        first = len(self.starts) - 1
+        self.plain.update(zip(new, range(first, first + len(new)), strict=True))
+        first += len(new)
+        self.spaced.update(zip(more, range(first, first + len(more)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+
+    def _separately(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each piece by itself, and how many it has."""
+        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), self.kind), np.array([*map(len, found)], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, and how many each has; without the end id."""
-        split = [PIECES.split(t) if t else [] for t in texts]
-        pieces = [p for s in split for p in s]
-        self._learn(set(pieces))
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        cut = [t.split(" ") for t in texts]
+        parts = list(chain.from_iterable(cut))
+        count = np.array([len(p) for p in cut])
+        row = np.repeat(np.arange(len(texts)), count)
+        if len(self.starts) > MOST_PIECES:
+            self._forget()
+        at = np.fromiter(map(self.spaced.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(at < 0).tolist()
+        asked = [parts[k] for k in missing]
+        new = set(asked)
+        odd = {p for p in new if p != p.strip() or not p or "\u180e" in p}
+        self._learn(set(), new - odd)
+        at[missing] = np.fromiter(map(self.spaced.get, asked, repeat(-1)), np.int64, len(asked))
+        wrong = np.unique(row[at < 0])
+        by_rule = {k: PIECES.split(texts[k]) if texts[k] else [] for k in wrong.tolist()}
+        firsts = {k: p[0] for k, p in enumerate(cut) if k not in by_rule}
+        plain = set(firsts.values()).union(*by_rule.values())
+        self._learn(plain, set())
+        where = np.cumsum(count) - count
+        for k, p in firsts.items():
+            at[where[k]] = self.plain[p]
+        if by_rule:
+            keep = ~np.isin(row, wrong)
+            rows = [row[keep], *(np.full(len(p), k) for k, p in by_rule.items())]
+            ats = [at[keep], *(np.array([self.plain[x] for x in p], np.int64) for p in by_rule.values())]
+            row, at = np.concatenate(rows), np.concatenate(ats)
+            order = np.argsort(row, kind="stable")
+            row, at = row[order], at[order]
         size = self.starts[at + 1] - self.starts[at]
         before = np.cumsum(size) - size
         flat = self.ids[np.repeat(self.starts[at] - before, size) + np.arange(size.sum())]
-        row = np.repeat(np.arange(len(texts)), [len(s) for s in split])
         return flat, np.bincount(row, size, len(texts)).astype(np.int64)
 
 
@@ -118,10 +160,12 @@ def _encoder(path: str) -> Encoder:
 
 
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids``: little-endian unsigned ids with the end id."""
+    """``doc_id, wide, ids``: ids with the end id as compressed unsigned numbers,
+    of 4 bytes if ``wide``, else 2."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder, squeeze = _encoder(path), zstandard.ZstdCompressor(level=1)
+        end, wide = np.array([END], encoder.kind), encoder.kind.itemsize == 4
         for batch in batches:
             ids, texts = batch.columns
             lo = 0
@@ -134,17 +178,27 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
                 flat, counts = encoder.encode(part)
                 cuts = np.cumsum(counts)
                 blobs = [
-                    np.append(x, np.uint32(END)).astype("<u4").tobytes()
+                    squeeze.compress(np.concatenate([x, end]).tobytes())
                     for x in np.split(flat, cuts[:-1])
                 ]
                 yield pa.record_batch(
-                    [ids.slice(lo, hi - lo), pa.array(counts + 1), binaries(blobs)],
-                    ["doc_id", "n_tokens", "ids"],
+                    [ids.slice(lo, hi - lo), pa.array([wide] * (hi - lo)), binaries(blobs)],
+                    ["doc_id", "wide", "ids"],
                 )
                 lo = hi
 
     plain = with_columns(docs, {"doc_id": "long", "text": "string"})
-    return map_batches(plain, work, "doc_id long, n_tokens long, ids binary")
+    return map_batches(plain, work, "doc_id long, wide boolean, ids binary")
+
+
+def expand(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The ids of each row of ``token_ids``."""
+    open_up = zstandard.ZstdDecompressor()
+    wide, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("wide", "ids"))
+    return [
+        np.frombuffer(open_up.decompress(blob.as_py()), "<u4" if w.as_py() else "<u2")
+        for w, blob in zip(wide, ids, strict=True)
+    ]
 
 
 def ranked(coded: DataFrame) -> np.ndarray:
@@ -153,15 +207,16 @@ def ranked(coded: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch.column(0):
-                found = np.bincount(np.frombuffer(blob.as_py(), "<u4"))
-                if len(found) > len(total):
-                    found, total = total, found
-                total[: len(found)] += found
+            if not batch.num_rows:
+                continue
+            found = np.bincount(np.concatenate(expand(batch)))
+            if len(found) > len(total):
+                found, total = total, found
+            total[: len(found)] += found
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    counts = map_batches(coded.select("ids"), count, "id long, n long")
+    counts = map_batches(coded.select("wide", "ids"), count, "id long, n long")
     rows = counts.groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
@@ -201,8 +256,8 @@ class TokenFiles:
 
             size = 0
             for batch in batches:
-                for doc, blob in zip(batch.column(0), batch.column(1), strict=True):
-                    held.append((doc.as_py(), np.frombuffer(blob.as_py(), "<u4")))
+                for doc, ids in zip(batch.column(0), expand(batch), strict=True):
+                    held.append((doc.as_py(), ids))
                     size += len(held[-1][1])
                     if size >= BLOCK_IDS:
                         yield block()
@@ -210,7 +265,7 @@ class TokenFiles:
             if held:
                 yield block()
 
-        dealt = coded.select("doc_id", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
+        dealt = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
         blocks = map_batches(
             dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids"), encode,
             "part int, ids_before long, n_ids long, doc_ids array<long>, n_tokens array<long>, ranks binary",
