@@ -37,7 +37,9 @@ from histmerge.workspace import Workspace
 
 END = 0
 #: Ids of a block, and pieces of text that a task remembers for its next batch.
-BLOCK_IDS, MOST_PIECES = 1 << 18, 600_000
+BLOCK_IDS, MOST_PIECES = 1 << 18, 1_000_000
+#: Marks that a token of letters never holds; an apostrophe is not among them.
+MARKS = ".,;:!?#*$%&|"
 PIECES = re.compile(r"(?<=[^\s\u180e])(?= [^\s\u180e])")
 
 #: Bytes of each of a control byte's four ranks.
@@ -96,17 +98,41 @@ class Encoder:
         self.ids = self.ids[: self.starts[-1]]
 
     def _learn(self, plain: set[str], spaced: set[str]) -> None:
-        new, more = plain.difference(self.plain), spaced.difference(self.spaced)
-        if not new and not more:
-            return
-        new, more = sorted(new), sorted(more)
-        ids, counts = self._separately(new + [" " + x for x in more])
+        """Tokenize what is new. A part that ends in marks after a letter is put
+        together from the part before them and the marks, as the rule ends a
+        token between the two."""
+        tails: list[tuple[str, str, str]] = []
+        more: set[str] = set()
+        for part in spaced.difference(self.spaced):
+            stem = part.rstrip(MARKS)
+            if stem and stem is not part and stem[-1].isascii() and stem[-1].isalpha():
+                tails.append((part, stem, part[len(stem) :]))
+                if stem not in self.spaced:
+                    more.add(stem)
+            else:
+                more.add(part)
+        new = sorted(plain.union(t[2] for t in tails).difference(self.plain))
+        more = sorted(more)
+        if new or more:
+            ids, counts = self._separately(new + [" " + x for x in more])
+            first = self._add(ids, counts)
+            self.plain.update(zip(new, range(first, first + len(new)), strict=True))
+            first += len(new)
+            self.spaced.update(zip(more, range(first, first + len(more)), strict=True))
+        if tails:
+            at = np.array([[self.spaced[s], self.plain[m]] for _, s, m in tails]).reshape(-1)
+            size = self.starts[at + 1] - self.starts[at]
+            before = np.cumsum(size) - size
+            ids = self.ids[np.repeat(self.starts[at] - before, size) + np.arange(size.sum())]
+            first = self._add(ids, size.reshape(-1, 2).sum(1))
+            self.spaced.update((t[0], first + k) for k, t in enumerate(tails))
+
+    def _add(self, ids: np.ndarray, counts: np.ndarray) -> int:
+        """The number of the first of the pieces that are added."""
         first = len(self.starts) - 1
-        self.plain.update(zip(new, range(first, first + len(new)), strict=True))
-        first += len(new)
-        self.spaced.update(zip(more, range(first, first + len(more)), strict=True))
         self.ids = np.concatenate([self.ids, ids])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        return first
 
     def _separately(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each piece by itself, and how many it has."""
