@@ -70,7 +70,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokens.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), Workspace(spark))
+    docs = table(spark, sf_dir, "documents")
+    found = tokens.write_and_read(docs, tokenizer_path(), Workspace(spark), most=2_000_000)
     return token_digests(found)
 
 

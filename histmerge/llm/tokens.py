@@ -36,8 +36,9 @@ from histmerge.llm.batches import binaries, map_batches, with_columns
 from histmerge.workspace import Workspace
 
 END = 0
-#: Ids of a block, and pieces of text that a task remembers for its next batch.
-BLOCK_IDS, MOST_PIECES = 1 << 18, 1_000_000
+#: Ids of a block, and pieces of text that a Python worker remembers for its next
+#: batch unless told otherwise, about 150 bytes each. Results do not depend on it.
+BLOCK_IDS, MOST_PIECES = 1 << 18, 400_000
 #: Marks that a token of letters never holds; an apostrophe is not among them.
 MARKS = ".,;:!?#*$%&|"
 PIECES = re.compile(r"(?<=[^\s\u180e])(?= [^\s\u180e])")
@@ -79,10 +80,10 @@ class Encoder:
     end, the text is cut by ``PIECES`` instead; such parts are never remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_PIECES):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.most = Tokenizer.from_file(path), most
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         # Pieces as they are, and parts that stand for a piece with a space before it.
         self.plain: dict[str, int] = {}
@@ -91,7 +92,7 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keep the pieces met first; those are the frequent ones."""
-        n = MOST_PIECES // 2
+        n = self.most // 2
         self.plain = {p: k for p, k in self.plain.items() if k < n}
         self.spaced = {p: k for p, k in self.spaced.items() if k < n}
         self.starts = self.starts[: n + 1]
@@ -145,7 +146,7 @@ class Encoder:
         parts = list(chain.from_iterable(cut))
         count = np.array([len(p) for p in cut])
         row = np.repeat(np.arange(len(texts)), count)
-        if len(self.starts) > MOST_PIECES:
+        if len(self.starts) > self.most:
             self._forget()
         at = np.fromiter(map(self.spaced.get, parts, repeat(-1)), np.int64, len(parts))
         missing = np.flatnonzero(at < 0).tolist()
@@ -175,22 +176,22 @@ class Encoder:
         return flat, np.bincount(row, size, len(texts)).astype(np.int64)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, most: int) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
 
 
-def token_ids(docs: DataFrame, path: str) -> DataFrame:
+def token_ids(docs: DataFrame, path: str, most: int = MOST_PIECES) -> DataFrame:
     """``doc_id, wide, ids``: ids with the end id as compressed unsigned numbers,
     of 4 bytes if ``wide``, else 2."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze = _encoder(path), zstandard.ZstdCompressor(level=1)
+        encoder, squeeze = _encoder(path, most), zstandard.ZstdCompressor(level=1)
         end, wide = np.array([END], encoder.kind), encoder.kind.itemsize == 4
         for batch in batches:
             ids, texts = batch.columns
@@ -254,9 +255,11 @@ class TokenFiles:
     spark: SparkSession
     folder: str
 
-    def write(self, docs: DataFrame, path: str, work: Workspace) -> TokenFiles:
+    def write(
+        self, docs: DataFrame, path: str, work: Workspace, most: int = MOST_PIECES
+    ) -> TokenFiles:
         """Tokenize ``docs``, rank the ids and write the blocks in ``doc_id`` order."""
-        coded = work.keep(token_ids(docs, path), "token-ids")
+        coded = work.keep(token_ids(docs, path, most), "token-ids")
         order = ranked(coded)
         rank = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -334,5 +337,8 @@ class TokenFiles:
         )
 
 
-def write_and_read(docs: DataFrame, path: str, work: Workspace) -> DataFrame:
-    return TokenFiles(docs.sparkSession, work.keep_path("tokens")).write(docs, path, work).read()
+def write_and_read(
+    docs: DataFrame, path: str, work: Workspace, most: int = MOST_PIECES
+) -> DataFrame:
+    files = TokenFiles(docs.sparkSession, work.keep_path("tokens"))
+    return files.write(docs, path, work, most).read()
