@@ -198,6 +198,9 @@ def content_node(parser: Lines, lines: list[Line], chosen: np.ndarray) -> int:
 
 
 def main_text(page: str) -> str:
+    cut = page.rfind("<")
+    if cut >= 0 and ">" not in page[cut:] and page[cut + 1 : cut + 2].strip("/!").isalpha():
+        page = page[:cut]  # a tag that the page's end cuts off
     parser = Lines()
     parser.feed(page)
     lines = parser.done()
