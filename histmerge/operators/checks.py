@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from histmerge.operators.lookup import lookup
 
 
+class ValidationError(ValueError):
+    """The merged tables break a referential rule."""
+
+
+# Columns in which empty text means that there is no value.
+MAY_BE_EMPTY = ("guid",)
+
+
 def dangling(df: DataFrame, column: str, parent: DataFrame, parent_id: str = "id") -> DataFrame:
     """Values of ``column`` no parent row has, with how many rows hold each.
 
@@ -24,12 +32,15 @@ def dangling(df: DataFrame, column: str, parent: DataFrame, parent_id: str = "id
 def repeated(df: DataFrame, key: list[str]) -> DataFrame:
     """One row: how many values of a key occur more than once.
 
-    Rows are counted per value in each task first. NULL and empty text are no
-    values: several rows may be without one.
+    Rows are counted per value in each task first. NULL is no value, and neither
+    is an empty guid: several rows may be without one. Empty text in any other
+    column is a value like others.
     """
     held = df
     for column in key:
-        held = held.where(F.col(column).isNotNull() & (F.col(column).cast("string") != ""))
+        held = held.where(F.col(column).isNotNull())
+        if column in MAY_BE_EMPTY:
+            held = held.where(F.col(column) != "")
     counted = held.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
     return counted.agg(F.count_if(F.col("rows") > 1).alias("repeated"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +18,15 @@ from histmerge.functions.keys import (
     random_guid,
     url_hash,
 )
-from histmerge.operators.checks import dangling, orphan_visits, repeated
+from histmerge.operators.checks import ValidationError, dangling, orphan_visits, repeated
 from histmerge.operators.dimension import DimensionMerge, MergeRules, merge_dimension
 from histmerge.operators.facts import FactMerge, merge_facts
 from histmerge.operators.lookup import remap
 from histmerge.operators.score import rescore
 from histmerge.operators.stats import anything_moved, merge_stats, meta_upsert, run_metadata
 from histmerge.sources.publish import Publication
-from histmerge.sources.schema import TABLES, UNIQUE, check_contract
-from histmerge.sources.tables import History
+from histmerge.sources.schema import TABLES, UNIQUE, check_contract, empty_table
+from histmerge.sources.tables import History, SameSideError
 from histmerge.workspace import Workspace
 
 # How the columns of a place that is on both sides are put together.
@@ -43,10 +44,6 @@ class NoDataError(ValueError):
     """The merge moved nothing."""
 
 
-class ValidationError(ValueError):
-    """The merged tables break a referential rule."""
-
-
 @dataclass(frozen=True)
 class MergeOptions:
     """Choices of a merge; the defaults keep the usual behaviour.
@@ -185,9 +182,21 @@ def validate(history: History, stats: Mapping[str, int], strict: bool = False) -
                 raise ValidationError(f"{twice} values of {'+'.join(key)} repeat in {table}")
 
 
+def published_history(target: Publication) -> History:
+    """The published tables as a side of a merge."""
+    return History(**{name: target.read(name) for name in TABLES})
+
+
+def _lies_in(side: History, target: Publication) -> bool:
+    """Whether any file of a side is one of the publication's."""
+    root = urlsplit(target.root).path.rstrip("/") + "/"
+    files = [f for df in side.tables().values() for f in df.inputFiles()]
+    return any(urlsplit(f).path.startswith(root) for f in files)
+
+
 def run_merge(
     src: History,
-    dst: History,
+    dst: History | None,
     target: Publication,
     now_us: int,
     work: Workspace,
@@ -196,11 +205,21 @@ def run_merge(
 ) -> dict[str, int]:
     """Merge, stage, check the staged tables, then publish them together.
 
-    A failed check leaves the published tables as they were. The first run into
-    an empty publication writes the destination's own visits as well; later
-    runs, whose ``dst`` is the publication itself, add only the new visits.
+    A failed check leaves the published tables as they were. The publication is
+    the destination. Into an empty one the first run writes ``dst`` as well, or
+    nothing if that is None; later runs merge into what is published, and refuse
+    a ``dst`` from elsewhere, which would not be what readers see. A source that
+    lies in the publication is refused too.
     """
     started = time.monotonic()
+    if _lies_in(src, target):
+        raise SameSideError(f"the source lies in the publication {target.root}")
+    if target.current():
+        if dst is not None and not _lies_in(dst, target):
+            raise SameSideError(f"{target.root} is published already and is the destination")
+        dst = published_history(target)
+    elif dst is None:
+        dst = History(**{name: empty_table(work.spark, f) for name, f in TABLES.items()})
     merged = merge_history(src, dst, now_us, work, options)
     run = target.current() + 1
     new_visits = merged.history.visits if run == 1 else merged.visits.inserted

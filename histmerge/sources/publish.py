@@ -40,18 +40,21 @@ class Publication:
     def runs(self) -> DataFrame:
         """One row per published run: number, run id, stream batch if any, tables."""
         try:
-            return self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.root}/{RUNS}")
-        except AnalysisException:  # nothing was ever published here
+            found = self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.root}/{RUNS}")
+            return found.select(*RUN_SCHEMA.names)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            # Nothing was ever published here.
             return self.spark.createDataFrame([], RUN_SCHEMA)
 
     def current(self) -> int:
         """Number of the last published run, 0 before the first."""
         return self.runs().agg(F.coalesce(F.max("run"), F.lit(0))).first()[0]
 
-    def published(self, run_id: str, batch: int) -> bool:
-        """Whether a stream batch is already part of the published tables."""
-        done = self.runs().where((F.col("run_id") == run_id) & (F.col("batch") == batch))
-        return not done.isEmpty()
+    def has(self, table: str) -> bool:
+        """Whether any published run wrote the table."""
+        return not self.runs().where(F.array_contains("tables", table)).isEmpty()
 
     def stage(self, run: int, table: str, df: DataFrame) -> DataFrame:
         """Write one table of a coming run, unseen by readers, and read it back."""
@@ -60,9 +63,9 @@ class Publication:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def commit(self, run: int, tables: list[str], run_id: str, batch: int | None = None) -> None:
-        """Make a staged run visible."""
+        """Make a staged run visible; fails if another writer took the number."""
         row = self.spark.createDataFrame([(run, run_id, batch, tables)], RUN_SCHEMA)
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/{RUNS}")
+        row.coalesce(1).write.mode("error").parquet(f"{self.root}/{RUNS}/commit={run}")
 
     def publish(
         self, tables: Mapping[str, DataFrame], run_id: str, batch: int | None = None

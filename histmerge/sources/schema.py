@@ -110,6 +110,9 @@ UNIQUE = [
     ("meta", ["key"]),
 ]
 
+# Other names under which stored tables hold a declared column.
+STORED_AS = {"triggering_place_id": "triggeringPlaceId"}
+
 TABLES = {"origins": ORIGINS, "places": PLACES, "visits": VISITS, "meta": META}
 
 
@@ -146,6 +149,9 @@ def conform(df: DataFrame, fields: list[Field]) -> DataFrame:
     Columns the schema does not declare are dropped, so the scan below never
     reads them.
     """
+    for name, stored in STORED_AS.items():
+        if name in {f.name for f in fields} and name not in df.columns and stored in df.columns:
+            df = df.withColumnRenamed(stored, name)
     have = {f.name: f.dataType for f in df.schema.fields}
     return df.select([_conformed(f, have.get(f.name)) for f in fields])
 

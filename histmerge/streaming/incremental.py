@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from histmerge.functions.keys import VISIT_KEY
+from histmerge.operators.checks import ValidationError, orphan_visits
 from histmerge.operators.facts import merge_facts
 from histmerge.sources.publish import Publication
+from histmerge.sources.schema import VISITS, check_contract
 from histmerge.workspace import Workspace
 
 
@@ -22,18 +24,19 @@ def merge_arriving_visits(
     """Start a query that merges each batch of a visit stream into ``target``.
 
     Every batch follows the rules of a batch merge against the published
-    visits, and is published with its number; a batch that is replayed after a
-    failure finds itself published and adds nothing. No state or watermark:
-    what was seen before is the published table.
+    visits; a batch that is replayed after a failure, or read again after the
+    checkpoint was lost, finds its visits there and adds nothing, whatever
+    number it has. No state or watermark: what was seen before is the published
+    table. A batch that breaks the declared contract, or brings a visit without
+    a published place (where places are published), stops the stream unpublished.
     """
 
     def merge_batch(batch: DataFrame, number: int) -> None:
-        if target.published(stream_id, number):
-            return
         work = Workspace(target.spark, f"{stream_id}-{number}")
         arrived = work.keep(batch, "arrived")
         if arrived.isEmpty():
             return
+        check_contract(arrived, VISITS, "arriving visits")
         merged = merge_facts(
             arrived,
             target.read("visits"),
@@ -43,7 +46,15 @@ def merge_arriving_visits(
             between="visit_date",
             name="visits",
         )
-        target.publish({"visits": merged.inserted}, stream_id, number)
+        new = work.keep(merged.inserted, "new-visits")
+        if new.isEmpty():
+            return
+        check_contract(new, VISITS, "new visits")
+        if target.has("places"):
+            orphans = orphan_visits(new, target.read("places")).first()["orphans"]
+            if orphans:
+                raise ValidationError(f"{orphans} arriving visits belong to no place")
+        target.publish({"visits": new}, stream_id, number)
 
     writer = arriving.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -17,6 +17,9 @@ from histmerge.plans.history import (
 )
 from histmerge.sources.publish import Publication
 from histmerge.sources.schema import ContractError
+from histmerge.operators.checks import repeated
+from histmerge.sources.schema import VISITS, conform
+from histmerge.sources.tables import SameSideError
 from histmerge.workspace import Workspace
 from tests.conftest import place, rows
 from tests.model import DAY, NOW, replay
@@ -71,6 +74,17 @@ def test_dry_run_counts_and_publishes_nothing(spark, history, work, tmp_path):
     assert Publication(spark, str(tmp_path)).current() == 0
 
 
+def test_empty_text_is_a_value_but_for_guids(spark):
+    twice = spark.createDataFrame([("", "localhost", ""), ("", "localhost", "")], "prefix string, host string, guid string")
+    assert repeated(twice, ["prefix", "host"]).first()["repeated"] == 1
+    assert repeated(twice, ["guid"]).first()["repeated"] == 0
+
+
+def test_stored_column_names_are_known(spark):
+    stored = spark.range(1).selectExpr("id", "1 AS place_id", "2 AS visit_date", "1 AS visit_type", "0 AS session", "55 AS triggeringPlaceId")
+    assert conform(stored, VISITS).first()["triggering_place_id"] == 55
+
+
 def published(target):
     return {t: target.read(t) for t in ("origins", "places", "visits", "meta")}
 
@@ -95,6 +109,30 @@ def test_run_publishes_all_tables_and_metadata(spark, history, tmp_path):
     )
 
 
+def test_two_sources_into_one_publication(spark, history, tmp_path):
+    """The second run merges into what the first published, not into its own seed."""
+    target = Publication(spark, str(tmp_path / "out"))
+    first = history(
+        origins=[(1, "https://", "a.com", 0)],
+        places=[place(1, "https://a.com/x", 555, 1, origin=1)],
+        visits=[(1, 1, 10, 1, 0)],
+    )
+    second = history(
+        origins=[(1, "https://", "b.com", 0)],
+        places=[place(1, "https://b.com/y", 666, 1, origin=1)],
+        visits=[(1, 1, 11, 1, 0)],
+    )
+    run_merge(first, None, target, NOW, Workspace(spark))
+    run_merge(second, None, target, NOW, Workspace(spark))
+    visits, places = target.read("visits"), target.read("places")
+    joined = visits.join(places.selectExpr("id AS place_id", "url"), "place_id")
+    assert rows(joined, "id", "url") == [(1, "https://a.com/x"), (2, "https://b.com/y")]
+    with pytest.raises(SameSideError):
+        run_merge(second, first, target, NOW, Workspace(spark))
+    with pytest.raises(SameSideError):
+        run_merge(as_history(history, target), None, target, NOW, Workspace(spark))
+
+
 def test_second_run_of_a_source(spark, history, tmp_path):
     """Inserted places carry a new hash, so only hash-equal or url keys find them."""
     src, options = history(**BASE), MergeOptions(place_keys=["url"])

@@ -90,6 +90,32 @@ def test_a_replayed_batch_adds_nothing(stream):
     assert target.runs().count() == 2
 
 
+def test_new_visits_after_a_lost_checkpoint_are_kept(stream):
+    target, arrive, run = stream
+    arrive((1, 7, 10, 2, 0))
+    run()
+    arrive((2, 8, 12, 1, 0))
+    run(checkpoint="lost")  # numbers start again, with other content
+    want = [(1, 10, 1), (1, 10, 2), (2, 12, 1)]
+    assert rows(target.read("visits"), *KEY) == want
+
+
+def test_a_visit_without_a_place_stops_the_stream(stream):
+    target, arrive, run = stream
+    arrive((1, None, 10, 1, 0))
+    with pytest.raises(Exception, match="NULL in required columns"):
+        run()
+    assert target.current() == 1
+
+
+def test_a_run_number_is_taken_once(spark, tmp_path):
+    target = Publication(spark, str(tmp_path / "p"))
+    target.publish({"places": spark.range(4)}, "first")
+    with pytest.raises(Exception, match="exists"):
+        target.commit(1, ["places"], "second")
+    assert target.runs().count() == 1
+
+
 def test_work_goes_to_the_folder_the_session_names(spark):
     work = Workspace(spark)
     kept = work.keep(spark.range(3), "step")

@@ -11,7 +11,9 @@ from tests.conftest import rows
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
 
-QUERIES = entry_file.queries()
+SQL = entry_file.oracle_sql()
+# The optional package's queries have tests of their own.
+QUERIES = {n: q for n, q in entry_file.queries().items() if not n.startswith("op") and n != "pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -23,13 +25,13 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(entry_file.oracle_sql())
+    assert set(QUERIES) <= set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
     got = QUERIES[name](spark, str(DATA))
-    found = duck.execute(entry_file.oracle_sql()[name])
+    found = duck.execute(SQL[name])
     columns = [d[0] for d in found.description]
     assert sorted(got.columns) == sorted(columns)
     order = sorted(columns)
