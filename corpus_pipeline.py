@@ -38,7 +38,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mixture, and what they hold of each document."""
-    return token_digests(tokens.write_and_read(docs, tokenizer_path(), Workspace(spark)))
+    found = tokens.write_and_read(docs, tokenizer_path(), Workspace(spark), most=100_000)
+    return token_digests(found)
 
 
 STAGES = [

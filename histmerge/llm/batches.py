@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text worked on at once in a task.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows that Spark sends to a Python task at once, unless the session says otherwise.
 BATCH_ROWS = 512
 

@@ -58,7 +58,7 @@ WORDS, PERCENT = 5, 80
 #: The tables of the global order: 2**SKETCH_BITS bytes and 2**REPEAT_BITS bits (32 MB).
 SKETCH_BITS, REPEAT_BITS = 20, 28
 #: Bits of a hash that are counted, and codes that a task sorts at once.
-CODE_BITS, CODES_AT_ONCE = 44, 1 << 21
+CODE_BITS, CODES_AT_ONCE = 44, 1 << 20
 #: Most sets that meet in one tree; more are dealt out in blocks of half as many.
 MOST_SETS = 20_000
 WORD = ~SPACES
