@@ -203,8 +203,8 @@ def global_order(docs: DataFrame, words: int) -> Order:
             marks = np.zeros(span, bool)
             marks[again.astype(np.int64) % span] = True
             return pa.record_batch(
-                [pa.array([here], pa.int32()), binaries([np.packbits(marks).tobytes()]),
-                 binaries([levels(total).tobytes()])],
+                [pa.array([here], pa.int32()), binaries([zlib.compress(np.packbits(marks).tobytes(), 1)]),
+                 binaries([zlib.compress(levels(total).tobytes(), 1)])],
                 ["part", "repeated", "level"],
             )
 
@@ -228,8 +228,8 @@ def global_order(docs: DataFrame, words: int) -> Order:
     repeated = np.zeros((parts, (1 << REPEAT_BITS) // 8 // parts), np.uint8)
     level = np.zeros((parts, counters), np.uint8)
     for r in map_batches(dealt, add, "part int, repeated binary, level binary").collect():
-        repeated[r["part"]] = np.frombuffer(r["repeated"], np.uint8)
-        level[r["part"]] = np.frombuffer(r["level"], np.uint8)
+        repeated[r["part"]] = np.frombuffer(zlib.decompress(r["repeated"]), np.uint8)
+        level[r["part"]] = np.frombuffer(zlib.decompress(r["level"]), np.uint8)
     return Order(repeated.reshape(-1), level.reshape(-1))
 
 
@@ -578,6 +578,9 @@ def similar_groups(
     sets = wanted_sets(docs, words, order, key_marks)
     known = pairs.select("key").distinct()
     sets = work.keep(sets.join(known, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    # All that reads these is written now.
+    for used in (order, marks, key_marks):
+        used.destroy()
 
     # First round: every set where most others are, large groups dealt out.
     home = pairs.groupBy("key").agg(

@@ -8,6 +8,7 @@ results stay the same.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ MARK_BITS = 26
 def bitmap(keys: DataFrame, bits: int = MARK_BITS, parts: int = 32) -> np.ndarray:
     """2**bits marks, packed: those whose number is ``h`` modulo 2**bits.
 
-    ``keys`` has a column ``h``. Tasks make parts of fixed size, so what the
-    driver gets and hands on doesn't depend on the number of keys.
+    ``keys`` has a column ``h``. Tasks make parts of fixed size and compress them,
+    so what the driver gets and hands on has a bound whatever the number of keys.
     """
     span = (1 << bits) // parts
 
@@ -39,14 +40,14 @@ def bitmap(keys: DataFrame, bits: int = MARK_BITS, parts: int = 32) -> np.ndarra
         if marks:
             yield pa.record_batch(
                 [pa.array(list(marks), pa.int32()),
-                 pa.array([np.packbits(m).tobytes() for m in marks.values()], pa.binary())],
+                 pa.array([zlib.compress(np.packbits(m).tobytes(), 1) for m in marks.values()], pa.binary())],
                 ["part", "marks"],
             )
 
     dealt = keys.select("h").repartition(parts, F.shiftright(F.col("h").bitwiseAND((1 << bits) - 1), span.bit_length() - 1))
     out = np.zeros((parts, span // 8), np.uint8)
     for r in map_batches(dealt, mark, "part int, marks binary").collect():
-        out[r["part"]] = np.frombuffer(r["marks"], np.uint8)
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
     return out.reshape(-1)
 
 
