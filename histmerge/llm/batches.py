@@ -9,6 +9,7 @@ once is bounded (``SLICE_BYTES``, one row at least).
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -65,6 +66,11 @@ class _Powers:
             self.up, self.down = (np.multiply.accumulate(x) for x in grow)
         return self.up, self.down
 
+    def forget(self) -> None:
+        """Drop what a text longer than a slice asked for."""
+        if len(self.up) > SLICE_BYTES + 1:
+            self.up = self.down = np.ones(1, np.uint64)
+
 
 _powers = _Powers()
 
@@ -177,6 +183,15 @@ def map_slices(
     return map_batches(df, run, schema)
 
 
+def give_back() -> None:
+    """Return a Python worker's unused memory; Spark keeps workers for later tasks."""
+    _powers.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 _shipped: set[str] = set()
 
 
@@ -202,12 +217,17 @@ def map_batches(
     work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | T.StructType,
 ) -> DataFrame:
-    """``mapInArrow`` with a bound on the rows of a batch."""
+    """``mapInArrow`` with a bound on the rows of a batch; a task ends with ``give_back``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
     ship_package(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(run, schema)
 
 
 def binaries(blobs: list[bytes]) -> pa.Array:

@@ -39,6 +39,9 @@ END = 0
 #: Ids of a block, and pieces of text that a Python worker remembers for its next
 #: batch unless told otherwise, about 150 bytes each. Results do not depend on it.
 BLOCK_IDS, MOST_PIECES = 1 << 18, 400_000
+#: Characters of text cut at once (one text at least), and pieces that the library
+#: takes at once; its results are larger than the ids.
+SLICE_CHARS, AT_ONCE = 1 << 18, 4096
 #: Marks that a token of letters never holds; an apostrophe is not among them.
 MARKS = ".,;:!?#*$%&|"
 PIECES = re.compile(r"(?<=[^\s\u180e])(?= [^\s\u180e])")
@@ -137,7 +140,10 @@ class Encoder:
 
     def _separately(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each piece by itself, and how many it has."""
-        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = []
+        for lo in range(0, len(pieces), AT_ONCE):
+            some = self.library.encode_batch_fast(pieces[lo : lo + AT_ONCE], add_special_tokens=False)
+            found.extend(e.ids for e in some)
         return np.fromiter(chain.from_iterable(found), self.kind), np.array([*map(len, found)], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +204,7 @@ def token_ids(docs: DataFrame, path: str, most: int = MOST_PIECES) -> DataFrame:
             lo = 0
             while lo < len(texts):
                 part, hi, size = [], lo, 0
-                while hi < len(texts) and size < 1 << 20:
+                while hi < len(texts) and size < SLICE_CHARS:
                     part.append(texts[hi].as_py() or "")
                     size += len(part[-1])
                     hi += 1
