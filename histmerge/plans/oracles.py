@@ -270,6 +270,13 @@ def _plain(select: str, more: str) -> str:
     return "WITH " + more.strip().rstrip(",") + "\n" + select
 
 
+# A document with malformed bytes after its text, each sequence of them replaced.
+REPAIRED = (
+    "text || CASE WHEN doc_id IS NULL THEN '' WHEN (doc_id % 3 + 3) % 3 = 2"
+    " THEN chr(65533) || chr(65533) ELSE chr(65533) END || coalesce(lang, '')"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """One statement per registered query."""
     origin_columns = ", ".join(f.name for f in ORIGINS)
@@ -382,6 +389,17 @@ def oracle_sql() -> dict[str, str]:
             " JOIN merged_origins o ON o.id = p.origin_id",
             UP_TO_PLACES,
         ),
+        "mismatched_origins": with_views(
+            "SELECT p.id, p.url, o.prefix, o.host FROM merged_places p"
+            " JOIN merged_origins o ON o.id = p.origin_id"
+            " WHERE NOT starts_with(p.url, concat(o.prefix, o.host))",
+            UP_TO_PLACES,
+        ),
+        "unmapped_visits": with_views(
+            "SELECT count(*) AS unmapped FROM sv v WHERE v.place_id IS NOT NULL"
+            " AND NOT EXISTS (SELECT 1 FROM sp p WHERE p.id = v.place_id)",
+            DECLARED,
+        ),
         "rescore": with_views(f"SELECT {place_columns} FROM scored_places", UP_TO_PLACES),
         "score_flagged": with_views(
             "SELECT s.id, s.frecency FROM scored_places s JOIN merged_places m ON m.id = s.id"
@@ -445,8 +463,13 @@ def oracle_sql() -> dict[str, str]:
         "publish_versioned": with_views(
             f"SELECT {place_columns} FROM scored_places", MAPPED_ONLY
         ),
+        "publish_second_run": with_views(
+            "SELECT v.id, v.place_id, v.visit_date, v.visit_type, p.url FROM merged_visits v"
+            " JOIN merged_places p ON p.id = v.place_id",
+            MAPPED_ONLY,
+        ),
         "incremental_visits": with_views(
-            "SELECT place_id, visit_date, visit_type FROM merged_visits", UP_TO_VISITS
+            f"SELECT {visit_columns} FROM merged_visits", UP_TO_VISITS
         ),
         "tiered_lookup": with_views(
             "SELECT q, status, tier, name_hits, path_hits, part_hits, name FROM answers", LOOKUP
@@ -461,13 +484,10 @@ def oracle_sql() -> dict[str, str]:
             " CASE WHEN count(*) FILTER (c_acctbal > 0) > 0 THEN 'default' ELSE 'no default' END"
             " AS status FROM customer GROUP BY c_nationkey"
         ),
-        "text_repair": (
-            "SELECT doc_id, CASE WHEN lang <> 'en' THEN text || chr(65533) || lang END AS text"
-            " FROM documents"
-        ),
+        "text_repair": f"SELECT doc_id, {REPAIRED} AS text, lang FROM documents",
         "text_repair_required": (
-            "SELECT doc_id, CASE WHEN lang <> 'en' THEN text || chr(65533) || lang ELSE '' END"
-            " AS text FROM documents"
+            f"SELECT doc_id, coalesce({REPAIRED}, '') AS text, coalesce(lang, '') AS lang"
+            " FROM documents"
         ),
         "url_hash": f"SELECT page_id, {_crc32('url')} AS url_hash FROM pages",
         "merge_dimension_orders": _plain(

@@ -33,6 +33,8 @@ from histmerge.sources.tables import History
 from histmerge.streaming.incremental import merge_arriving_visits
 from histmerge.workspace import Workspace
 
+VISITS_COLUMNS = [field.name for field in VISITS]
+
 # Sides and upstream merges of this session, written or built once per input.
 _built: dict[tuple[str, str], Inputs] = {}
 
@@ -176,8 +178,8 @@ def _merged_counts(i: Inputs) -> DataFrame:
     return before.join(F.broadcast(after), "table_name")  # three rows each
 
 
-def _publish(i: Inputs) -> DataFrame:
-    """A whole published run, read back. Visits without a source place would be refused."""
+def _published(i: Inputs) -> tuple[Publication, Workspace]:
+    """A whole published run. Visits without a source place would be refused."""
     work = Workspace(i.spark, RUN_ID)
     target = Publication(i.spark, i.work.keep_path("published"))
     mapped = i.src.visits.join(
@@ -185,7 +187,24 @@ def _publish(i: Inputs) -> DataFrame:
     )
     src = History(i.src.origins, i.src.places, mapped.select(*i.src.visits.columns), i.src.meta)
     H.run_merge(src, i.dst, target, NOW_US, work)
-    return target.read("places")
+    return target, work
+
+
+def _publish(i: Inputs) -> DataFrame:
+    """The places of a published run, read back."""
+    return _published(i)[0].read("places")
+
+
+def _second_run(i: Inputs) -> DataFrame:
+    """Published visits with their places' URLs after a second run.
+
+    The second source is the side that the first run started from, so all its
+    visits are published already, and every visit must stay with its place.
+    """
+    target, work = _published(i)
+    H.run_merge(i.dst, None, target, NOW_US, work)
+    places = target.read("places").select(F.col("id").alias("place_id"), "url")
+    return target.read("visits").join(places, "place_id").select("id", *K.VISIT_KEY, "url")
 
 
 def _incremental(i: Inputs) -> DataFrame:
@@ -200,7 +219,7 @@ def _incremental(i: Inputs) -> DataFrame:
         visits, target, i.places.id_map, i.work.keep_path("stream-state"), "arriving"
     )
     query.awaitTermination()
-    return target.read("visits").select(*K.VISIT_KEY)
+    return target.read("visits").select(*VISITS_COLUMNS)
 
 
 def _repeated(i: Inputs) -> DataFrame:
@@ -251,11 +270,19 @@ def _customers(i: Inputs) -> DataFrame:
     )
 
 
+#: Malformed ends of a text, by turns: a cut-off character of two bytes and of
+#: three, and two bytes that never occur.
+MALFORMED = (b"\xc3", b"\xe2\x82", b"\xff\xfe")
+
+
 def _broken_text(i: Inputs, repair: Callable[[str], Column]) -> DataFrame:
-    """Whole documents with a cut-off two-byte character put in, and NULL for English."""
-    broken = F.concat(F.encode("text", "UTF-8"), F.lit(b"\xc3"), F.encode("lang", "UTF-8"))
-    documents = i.table("documents").withColumn("b", F.when(F.col("lang") != "en", broken))
-    return documents.select("doc_id", repair("b").alias("text"))
+    """Every whole document with malformed bytes put in, and its language, which may be NULL."""
+    turn = F.pmod("doc_id", F.lit(len(MALFORMED)))
+    bad = F.coalesce(*[F.when(turn == k, F.lit(b)) for k, b in enumerate(MALFORMED)], F.lit(b""))
+    lang = F.encode(F.coalesce("lang", F.lit("")), "UTF-8")
+    broken = F.concat(F.encode("text", "UTF-8"), bad, lang)
+    documents = i.table("documents").withColumn("b", broken)
+    return documents.select("doc_id", repair("b").alias("text"), repair("lang").alias("lang"))
 
 
 def order_sides(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -353,6 +380,10 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "place_origin_inner": lambda i: checks.place_origins(
         i.places.table.select("id", "url", "origin_id"), i.work.keep(i.origins.table, "origins")
     ).select("id", "url", "prefix", "host"),
+    "mismatched_origins": lambda i: checks.mismatched_origins(
+        i.places.table.select("id", "url", "origin_id"), i.work.keep(i.origins.table, "origins")
+    ).select("id", "url", "prefix", "host"),
+    "unmapped_visits": lambda i: H.unmapped_visits(i.src.visits, i.src.places),
     "rescore": lambda i: rescore(i.places.table, NOW_US),
     "score_flagged": lambda i: rescore(
         i.places.table.where("recalc_frecency = 1"), NOW_US
@@ -369,6 +400,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "repeated_keys": _repeated,
     "merge_history_counts": _merged_counts,
     "publish_versioned": _publish,
+    "publish_second_run": _second_run,
     "incremental_visits": _incremental,
     "tiered_lookup": lambda i: _answers(i)[1],
     "ambiguous_names": _ambiguous,
