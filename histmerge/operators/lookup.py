@@ -22,9 +22,11 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 # bounds, is a batch: the destination's keys are cut down to its keys in place.
 BATCH_RATIO = 20
 
-# A key is heavy from this many rows on, and from 1/HEAVY_SHARE of all rows.
+# A key is heavy from this many rows on, and from as many as a shuffle partition
+# has on average (or 1/HEAVY_KEYS of all rows, with fewer partitions). At most
+# HEAVY_KEYS keys are spread.
 HEAVY_ROWS = 1_000_000
-HEAVY_SHARE = 200
+HEAVY_KEYS = 200
 # The sketch finds every key above roughly 1/7000 of the rows with this size.
 SKETCH_ITEMS = 10_000
 
@@ -49,7 +51,7 @@ def fits_broadcast(table: DataFrame) -> bool:
 def heavy_keys(df: DataFrame, keys: list[str]) -> dict[int, int]:
     """Hash of each heavy key and over how many tasks to spread it.
 
-    One pass with a fixed-size sketch; at most ``HEAVY_SHARE`` numbers reach the
+    One pass with a fixed-size sketch; at most ``HEAVY_KEYS`` numbers reach the
     driver. The result only places rows, so its estimates cannot change a join.
     """
     present = F.lit(True)
@@ -60,11 +62,12 @@ def heavy_keys(df: DataFrame, keys: list[str]) -> dict[int, int]:
         .select(F.xxhash64(*keys).alias("_hash"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.expr(f"approx_top_k(_hash, {HEAVY_SHARE}, {SKETCH_ITEMS})").alias("top"),
+            F.expr(f"approx_top_k(_hash, {HEAVY_KEYS}, {SKETCH_ITEMS})").alias("top"),
         )
         .first()
     )
-    least = max(HEAVY_ROWS, (top["rows"] or 0) // HEAVY_SHARE)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    least = max(HEAVY_ROWS, (top["rows"] or 0) // max(partitions, HEAVY_KEYS))
     return {t["item"]: t["count"] // least + 1 for t in top["top"] or [] if t["count"] >= least}
 
 
@@ -99,9 +102,7 @@ def lookup(
     unkeyed = F.lit(False)
     for key in keys:
         unkeyed = unkeyed | F.col(key).isNull()
-    salt = F.when(unkeyed, F.pmod(spread_hash, F.lit(HEAVY_SHARE))).otherwise(
-        F.pmod(spread_hash, _splits(keys, heavy))
-    )
+    salt = F.when(unkeyed, spread_hash).otherwise(F.pmod(spread_hash, _splits(keys, heavy)))
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), _splits(keys, heavy) - 1))
     salted = table.withColumn(SALT, copies if heavy else F.lit(0).cast("bigint"))
     return df.withColumn(SALT, salt).join(salted, [*keys, SALT], how).drop(SALT)
