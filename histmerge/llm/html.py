@@ -3,9 +3,11 @@
 The standard library's parser streams a page's events; block elements cut them
 into lines. A line's ratio is its characters over its tags; the ratios are
 smoothed by a Gaussian over neighbouring lines and parted into two clusters.
-The lines of the high cluster show where the content is: the element that holds
-most of their text is the content region, and all its lines are taken, short
-ones between long ones included. Menus, headers, footers, sidebars, notices,
+The lines of the high cluster show where the content is. From the element that
+holds most of their text the region grows until it holds four fifths of all
+text and no branch beside it holds prose (text outside of links); an ``article``
+or ``main`` with half of the text is where it begins. All lines of the region
+are taken, short ones between long ones included. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are recognised by element, role
 and class while the events pass, and take no part.
 
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame
 from histmerge.llm.batches import Texts, map_slices, with_columns
 
 SIGMA = 1.0
+#: Characters outside of links from which a branch beside the region is content.
+LEAST_PROSE = 50
 
 #: Elements of HTML by their part in a page.
 BLOCKS = frozenset(
@@ -66,6 +70,7 @@ class Node:
     parent: int
     out: bool
     trail: tuple[int, ...] = ()
+    link: bool = False
 
 
 @dataclass
@@ -73,6 +78,7 @@ class Line:
     text: str
     tags: int
     node: int
+    linked: int = 0
 
 
 class Lines(HTMLParser):
@@ -84,13 +90,14 @@ class Lines(HTMLParser):
         self.stack = [0]
         self.lines: list[Line] = []
         self.held: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.stack[-1]))
+            self.lines.append(Line(text, self.tags, self.stack[-1], self.linked))
             self.tags = 0
+        self.linked = 0
         self.held.clear()
 
     def noisy(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -119,7 +126,8 @@ class Lines(HTMLParser):
             self.close_open(ENDS.get(tag, {"p"} if tag in BLOCKS else set()))
         top = self.stack[-1]
         out = self.nodes[top].out or self.noisy(tag, attrs)
-        self.nodes.append(Node(tag, top, out))
+        link = self.nodes[top].link or tag == "a" and any(name == "href" for name, _ in attrs)
+        self.nodes.append(Node(tag, top, out, link=link))
         self.stack.append(len(self.nodes) - 1)
 
     def close_open(self, tags: set[str]) -> None:
@@ -149,8 +157,11 @@ class Lines(HTMLParser):
                 return  # an inline end tag does not close blocks
 
     def handle_data(self, data: str) -> None:
-        if not self.nodes[self.stack[-1]].out:
+        node = self.nodes[self.stack[-1]]
+        if not node.out:
             self.held.append(data)
+            if node.link:
+                self.linked += len(" ".join(data.split()))
 
     def done(self) -> list[Line]:
         self.close()
@@ -178,23 +189,61 @@ def high_cluster(values: np.ndarray) -> np.ndarray:
     return values > (low + high) / 2
 
 
+def weights(parser: Lines, lines: list[Line], of: list[int]) -> list[int]:
+    """For each element the sum of its lines' numbers, all below it included."""
+    out = [0] * len(parser.nodes)
+    for line, n in zip(lines, of, strict=True):
+        out[line.node] += n
+    for node in range(len(out) - 1, 0, -1):
+        out[parser.nodes[node].parent] += out[node]
+    return out
+
+
+def common(parser: Lines, a: int, b: int) -> int:
+    """The smallest element that holds both; an element's number is above its parent's."""
+    while a != b:
+        a, b = min(a, b), parser.nodes[max(a, b)].parent
+    return a
+
+
 def content_node(parser: Lines, lines: list[Line], chosen: np.ndarray) -> int:
-    """The element that holds the content: of the ``article`` or ``main``
-    elements the one with most chosen text, else the deepest element with at
-    least four fifths of it."""
-    weight: dict[int, int] = {}
-    for line, take in zip(lines, chosen, strict=True):
-        node = line.node if take else -1
-        while node >= 0:
-            weight[node] = weight.get(node, 0) + len(line.text)
-            node = parser.nodes[node].parent
-    total = weight.get(0, 0)
-    for tags in (("article",), ("main",)):
-        found = [n for n in weight if parser.nodes[n].tag in tags]
-        best = max(found, key=lambda n: (weight[n], -n), default=None)
-        if best is not None and 2 * weight[best] >= total:
-            return best
-    return max(n for n, w in weight.items() if 5 * w >= 4 * total)
+    """The element that holds the content: ``main`` and ``article`` elements with
+    half of the text together, else the deepest element with at least four fifths
+    of the chosen and of all text; then up to every branch that holds prose."""
+    nodes = parser.nodes
+    sizes = [len(line.text) for line in lines]
+    text = weights(parser, lines, sizes)
+    picked = weights(parser, lines, [n * int(c) for n, c in zip(sizes, chosen, strict=True)])
+    prose_of = [n if 2 * line.linked < n else 0 for n, line in zip(sizes, lines, strict=True)]
+    prose = weights(parser, lines, prose_of)
+    told = [n for n in range(1, len(nodes)) if nodes[n].tag in ("article", "main") and text[n]]
+    region = 0
+    if told:
+        region = told[0]
+        for n in told[1:]:
+            region = common(parser, region, n)
+    inside = [False] * len(nodes)
+    for n in range(1, len(nodes)):
+        inside[n] = inside[nodes[n].parent] or nodes[n].tag in ("article", "main")
+    declared = sum(n for n, line in zip(sizes, lines, strict=True) if inside[line.node])
+    if not told or 2 * declared < text[0]:
+        region = max(n for n, w in enumerate(picked) if 5 * w >= 4 * picked[0])
+        while 5 * text[region] < 4 * text[0]:
+            region = nodes[region].parent
+    # Prose in the lines of an element itself or in one of its children, beside the way up.
+    own = [0] * len(nodes)
+    for line, n in zip(lines, prose_of, strict=True):
+        own[line.node] += n
+    children: dict[int, list[int]] = {}
+    for n in range(1, len(nodes)):
+        if prose[n] >= LEAST_PROSE:
+            children.setdefault(nodes[n].parent, []).append(n)
+    below, up = region, nodes[region].parent
+    while up >= 0:
+        if own[up] >= LEAST_PROSE or any(n != below for n in children.get(up, [])):
+            region = up
+        below, up = up, nodes[up].parent
+    return region
 
 
 def main_text(page: str) -> str:

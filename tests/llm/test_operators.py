@@ -225,6 +225,19 @@ def test_html_content():
     assert html.main_text("") == "" and html.main_text("<p") == ""
 
 
+def test_html_keeps_unequal_parts():
+    short = [f"Short paragraph {k}. " + words(70) for k in range(3)]
+    long = "Long paragraph. " + words(1500)
+    parts = "".join(f"<p>{p}</p>" for p in short), f"<p>{long}</p>"
+    menu = "<div><a href=a>Home page of this site</a> <a href=b>All the other pages of it</a></div>"
+    want = "\n\n".join([*short, long])
+    for tag in ("section", "article", "div"):
+        inner = "".join(f"<{tag}>{p}</{tag}>" for p in parts)
+        assert html.main_text(f"<body>{menu}<div id=content>{inner}</div></body>") == want
+    inner = f"<article>{parts[1]}</article><div>{parts[0]}</div>"
+    assert html.main_text(f"<body>{menu}<div>{inner}</div></body>") == "\n\n".join([long, *short])
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
 @pytest.mark.parametrize("name", ["op1_mix_sources", "op8_url_filters", "op9_ngram_jaccard"])
 def test_query_equals_its_sql(spark, name):
