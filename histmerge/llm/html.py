@@ -9,7 +9,10 @@ text and no branch beside it holds prose (text outside of links); an ``article``
 or ``main`` with half of the text is where it begins. All lines of the region
 are taken, short ones between long ones included. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are recognised by element, role
-and class while the events pass, and take no part.
+and class while the events pass, and take no part. A class, id or role marks an
+element by a whole name or its last word ("page-footer", not "has-footer"), and
+not if the element holds an article or ``main``, or, where none is outside of it,
+most of the page's text; that is known at the page's end.
 
 Defined results: a null, empty or textless page has an empty text; markup left
 open or closed twice ends with its parent; repeated rows give equal results.
@@ -54,6 +57,14 @@ NOISE = frozenset(
     " promotion related reply replies search share sharing sidebar signup skip social sponsor"
     " sponsored subscribe subscription taboola toolbar tooltip topbar widget widgets".split()
 )
+#: Of these, the marks of readers' comments.
+COMMENTS = frozenset("comment comments disqus reply replies".split())
+#: Words that may follow a mark ("ad-slot"), and that turn it ("has-sidebar").
+PARTS = frozenset(
+    "area bar block body box button buttons container form inner item items link links list panel"
+    " section slot unit wrap wrapper".split()
+)
+TURNS = frozenset("has have no non not with without".split())
 #: Elements that a new one of the same group ends.
 ENDS = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -64,6 +75,20 @@ FENCES = frozenset("ul ol dl table article section div main body aside nav foote
 WORDS = re.compile(r"[A-Za-z]+")
 
 
+def mark_of(attrs: dict[str, str | None]) -> str:
+    """The noise word that an element's class, id or role ends in, or nothing."""
+    found = ""
+    for token in " ".join(attrs.get(k) or "" for k in ("class", "id", "role")).lower().split():
+        words = WORDS.findall(token)
+        while len(words) > 1 and words[-1] in PARTS and words[-1] not in NOISE:
+            words.pop()
+        if words and words[-1] in NOISE and not TURNS.intersection(words[:-1]):
+            if words[-1] in COMMENTS:
+                return words[-1]
+            found = words[-1]
+    return found
+
+
 @dataclass
 class Node:
     tag: str
@@ -71,13 +96,15 @@ class Node:
     out: bool
     trail: tuple[int, ...] = ()
     link: bool = False
+    mark: str = ""
 
 
 @dataclass
 class Line:
-    text: str
+    pieces: list[tuple[str, int]]
     tags: int
     node: int
+    text: str = ""
     linked: int = 0
 
 
@@ -89,45 +116,40 @@ class Lines(HTMLParser):
         self.nodes = [Node("", -1, False)]
         self.stack = [0]
         self.lines: list[Line] = []
-        self.held: list[str] = []
-        self.tags = self.linked = 0
+        self.held: list[tuple[str, int]] = []
+        self.tags = 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.held).split())
-        if text:
-            self.lines.append(Line(text, self.tags, self.stack[-1], self.linked))
+        if any(piece.strip() for piece, _ in self.held):
+            self.lines.append(Line(self.held, self.tags, self.stack[-1]))
             self.tags = 0
-        self.linked = 0
-        self.held.clear()
+        self.held = []
 
-    def noisy(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def noisy(self, tag: str, values: dict[str, str | None]) -> bool:
         if tag in LEFT_OUT:
             return True
-        inside = any(self.nodes[n].tag in ("article", "main") for n in self.stack)
         if tag == "header":
-            return not inside
+            return not any(self.nodes[n].tag in ("article", "main") for n in self.stack)
         if tag in ("html", "body", "article", "main") or tag in HEADINGS:
             return False
-        values = dict(attrs)
-        if "hidden" in values or (values.get("aria-hidden") or "").lower() == "true":
-            return True
-        marks = " ".join(values.get(k) or "" for k in ("class", "id", "role")).lower()
-        return any(w in NOISE for w in WORDS.findall(marks))
+        return "hidden" in values or (values.get("aria-hidden") or "").lower() == "true"
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
         if tag == "br" or tag in ("td", "th"):
-            self.held.append(" ")
+            self.held.append((" ", 0))
         if tag in VOID:
             return
         if tag in BLOCKS and tag not in HEADINGS or tag in ENDS:
             self.close_open(ENDS.get(tag, {"p"} if tag in BLOCKS else set()))
         top = self.stack[-1]
-        out = self.nodes[top].out or self.noisy(tag, attrs)
-        link = self.nodes[top].link or tag == "a" and any(name == "href" for name, _ in attrs)
-        self.nodes.append(Node(tag, top, out, link=link))
+        values = dict(attrs)
+        out = self.nodes[top].out or self.noisy(tag, values)
+        link = self.nodes[top].link or tag == "a" and "href" in values
+        plain = out or tag in ("html", "body", "main", "header") or tag in HEADINGS
+        self.nodes.append(Node(tag, top, out, link=link, mark="" if plain else mark_of(values)))
         self.stack.append(len(self.nodes) - 1)
 
     def close_open(self, tags: set[str]) -> None:
@@ -157,16 +179,53 @@ class Lines(HTMLParser):
                 return  # an inline end tag does not close blocks
 
     def handle_data(self, data: str) -> None:
-        node = self.nodes[self.stack[-1]]
-        if not node.out:
-            self.held.append(data)
-            if node.link:
-                self.linked += len(" ".join(data.split()))
+        if not self.nodes[self.stack[-1]].out:
+            self.held.append((data, self.stack[-1]))
 
     def done(self) -> list[Line]:
         self.close()
         self.flush()
-        return self.lines
+        self.leave_out()
+        taken, tags = [], 0
+        for line in self.lines:
+            held = [(piece, n) for piece, n in line.pieces if not self.nodes[n].out]
+            line.text = " ".join("".join(piece for piece, _ in held).split())
+            line.linked = sum(len(" ".join(p.split())) for p, n in held if self.nodes[n].link)
+            tags += line.tags
+            if line.text:
+                line.tags, tags = tags, 0
+                taken.append(line)
+        return taken
+
+    def leave_out(self) -> None:
+        """Decide which marked elements are left out, now that the page is known."""
+        nodes = self.nodes
+        if not any(n.mark for n in nodes):
+            return
+        # Articles that are no comments tell content; another mark on them means nothing.
+        tells = [n.tag == "main" or n.tag == "article" and n.mark not in COMMENTS for n in nodes]
+        told = [False] * len(nodes)
+        for k in range(1, len(nodes)):
+            told[k] = tells[k] or told[nodes[k].parent]
+        text, inside = [0] * len(nodes), [0] * len(nodes)
+        for line in self.lines:
+            for piece, k in line.pieces:
+                text[k] += (n := len(piece.strip()))
+                inside[k] += n * told[k]
+        holds = [t and i > 0 for t, i in zip(tells, inside, strict=True)]
+        for k in range(len(nodes) - 1, 0, -1):
+            up = nodes[k].parent
+            text[up] += text[k]
+            inside[up] += inside[k]
+            holds[k] = holds[k] or tells[k] and inside[k] > 0
+            holds[up] = holds[up] or holds[k]
+        for k in range(1, len(nodes)):
+            node = nodes[k]
+            alone = inside[0] == inside[k]  # no content is told outside
+            most = alone and 2 * text[k] > text[0]
+            stays = most or holds[k] and (alone or node.mark not in COMMENTS)
+            marked = bool(node.mark) and (node.tag != "article" or node.mark in COMMENTS)
+            node.out = node.out or nodes[node.parent].out or marked and not stays
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

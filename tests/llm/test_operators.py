@@ -238,6 +238,28 @@ def test_html_keeps_unequal_parts():
     assert html.main_text(f"<body>{menu}<div>{inner}</div></body>") == "\n\n".join([long, *short])
 
 
+def test_html_layout_names_are_no_marks():
+    text = "The text of this page. " + words(80)
+    body = f"<div id=content><p>{text}</p><p>More of it here.</p></div>"
+    want = f"{text}\n\nMore of it here."
+    names = [
+        "class='container has-sidebar'", "class=with-comments", "class=no-header", "id=search-results",
+        "class='post related-topics'", "class=sidebar", "class=content-sidebar-wrap",
+    ]
+    for name in names:
+        for inner in (body, f"<article>{body}</article>"):
+            assert html.main_text(f"<body><div {name}>{inner}</div></body>") == want
+    for name in ("class=ad-slot", "id=page-footer", "class='x cookie-notice'", "role=navigation", "class=comments"):
+        noise = f"<div {name}>{words(20)}</div><p>And <span class=ad>buy</span>more.</p>"
+        assert html.main_text(f"<article>{body}{noise}</article>") == f"{want}\n\nAnd more."
+        assert html.main_text(f"<body><div {name}>{words(200)}</div><article>{body}</article></body>") == want
+    said = "".join(f"<article class=comment-body><p>{words(90)}</p></article>" for _ in range(3))
+    page = f"{body}<div class=comments>{said}</div>"
+    assert html.main_text(f"<body><article>{page}</article></body>") == want
+    page = f"<header class=entry-header><h1>A title</h1></header>{body}"
+    assert html.main_text(f"<body><article>{page}</article></body>") == f"A title\n\n{want}"
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
 @pytest.mark.parametrize("name", ["op1_mix_sources", "op8_url_filters", "op9_ngram_jaccard"])
 def test_query_equals_its_sql(spark, name):
