@@ -159,6 +159,20 @@ def test_quality_base_counts(spark, docs):
     assert not quality.quality_rules(df.limit(0), labels.limit(0)).collect()
 
 
+@pytest.mark.parametrize("labelled", [0, 5, 50, 5000])
+def test_quality_keeps_good_documents_held_out(spark, labelled):
+    draw = np.random.Generator(np.random.PCG64(5))
+    weights = 1 / np.arange(1, 20_001)
+    drawn = draw.choice(20_000, (5600, 40), p=weights / weights.sum())
+    texts = [" ".join(f"word{k}" for k in row) for row in drawn]
+    junk = [" ".join(f"#{k}x" for k in row) for row in draw.integers(0, 400, (100, 40))]
+    df = spark.createDataFrame(list(enumerate(texts + junk)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, 1) for k in range(labelled)], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality.keep_good(df, labels).select("doc_id").collect()}
+    assert len(kept & set(range(5000, 5600))) >= 580
+    assert len(kept & set(range(5600, 5700))) <= (5 if labelled >= 50 else 100)
+
+
 def test_languages_and_letters(spark, docs):
     train = spark.createDataFrame(
         [(f"the cat and the dog {k}", "en") for k in range(30)] + [(f"der hund und die katze {k}", "de") for k in range(30)],
