@@ -210,6 +210,19 @@ def test_contamination_catches_other_numbers_only_if_consistent(spark, work):
     assert not any(r["contaminated"] for r in templates.contamination(df, bench.limit(0), work).collect())
 
 
+def test_contamination_takes_each_value_on_its_own(spark, work):
+    item = "a train leaves at 40 km speed and after 3 hours it has passed Berlin again at 40 km"
+    twice = "if a shop sells 3 apples and 3 pears to every guest how many does it sell"
+    texts = [
+        (1, item.replace("40", "55", 1)), (2, twice.replace("3", "5", 1).replace("3", "7")),
+        (3, twice.replace("3", "5", 1)), (4, twice.replace("shop sells", "farm grows").replace("guest how", "day so")),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, twice)], "item_id long, text string")
+    found = {r["doc_id"]: r["item_ids"] for r in templates.contamination(df, bench, work).collect()}
+    assert found == {1: [0], 2: [1], 3: [1], 4: []}
+
+
 def test_urls(spark):
     asked = [
         "http://A.Example.NET/en/1?x", "http://net/", "http://x.net", "http://notnet/x", "https://a.org/fr/z#t",
