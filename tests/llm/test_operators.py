@@ -223,6 +223,23 @@ def test_contamination_takes_each_value_on_its_own(spark, work):
     assert found == {1: [0], 2: [1], 3: [1], 4: []}
 
 
+def test_contamination_finds_exact_copies_of_any_item(spark, work):
+    items = [
+        "12 + 7 = 19", "Anna Berta Carl Dora Emil Fritz Gerd Hans Ida Jan", "How many legs has a spider?",
+        "1 2 3 4 5 6 7 8 9 10 11 12", "Name The Capital Of France", "Paris", "", "...",
+    ]
+    texts = [
+        *(f"{words(30)}. {x}\n{words(30)}" for x in items[:6]),
+        *(f"They asked us, {x[0].lower()}{x[1:]} and so on" for x in items[1:5]),
+        *(f"They asked us {x} and so on" for x in items[1:5]), "They went to Paris by 12 + 7 = 19 ways", "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {r["doc_id"]: r["item_ids"] for r in templates.contamination(df, bench, work).collect()}
+    want = [[0], [1], [2], [3], [4], [5], [1], [2], [3], [4], [1], [2], [3], [4], [], []]
+    assert [found[k] for k in range(len(texts))] == want
+
+
 def test_urls(spark):
     asked = [
         "http://A.Example.NET/en/1?x", "http://net/", "http://x.net", "http://notnet/x", "https://a.org/fr/z#t",
