@@ -640,15 +640,15 @@ def keep_one(docs: DataFrame, work: Workspace, **options) -> DataFrame:
     best = found.where("root is not null").groupBy("root").agg(
         F.min(F.struct("doc_id", "text_key")).alias("best")
     )
-    kept = best.select("best.*").unionAll(
-        found.where("root is null").select("doc_id", "text_key").distinct()
-    ).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text"))
+    names = [F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text")]
+    chosen = best.select("best.*").select(*names)
+    wordless = found.where("root is null").select(*names).distinct()
     rows = docs.withColumn("__key", F.md5(F.col("text").cast("binary")))
     same = F.col("__doc").eqNullSafe(F.col("doc_id").cast("long")) & F.col("__text").eqNullSafe(F.col("__key"))
-    out = rows.join(kept, same, "left_semi")
+    out = rows.join(chosen.unionAll(wordless), same, "left_semi")
     # A group's best document may be there in several equal rows; one stays.
     repeated = found.where("n > 0").groupBy("doc_id", "text_key").count().where("count > 1").limit(1)
     if repeated.count():
-        filled = out.dropDuplicates(["doc_id", "__key"])
-        out = filled
+        filled = rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+        out = filled.unionByName(rows.join(wordless, same, "left_semi"))
     return out.select(*docs.columns)

@@ -107,6 +107,13 @@ def test_jaccard_components_equal_brute_force(spark, work, size, percent, most):
     assert sorted(r["doc_id"] for r in kept.collect()) == alone
 
 
+def test_one_document_stays_but_every_wordless_row(spark, work):
+    texts = [(1, BASE), (1, BASE), (2, BASE), (5, ""), (5, ""), (None, ""), (None, ""), (6, None), (6, None), (7, "x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = jaccard.keep_one(df, work, words=3, percent=90).collect()
+    assert Counter(map(tuple, found)) == Counter([texts[0], *texts[3:]])
+
+
 def test_mix_meets_its_targets(spark, work):
     rows = [(k, words(int(random.integers(1, 30))), f"s{k % 4}" if k % 9 else None) for k in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
