@@ -108,5 +108,109 @@ GROUP BY s.doc_id, s.n_shingles
 """
 
 
+
+def crc_table() -> list[int]:
+    """The CRC-32 remainders of all bytes."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (value & 1) * 0xEDB88320
+        out.append(value)
+    return out
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, as SQL."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    step = f"lambda a, b: xor(a >> 8, ({crc_table()}::BIGINT[])[(xor(a, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), {step}), 4294967295)"
+
+
+SPELLING = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS k,
+         unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[a-zÀ-ÿ]{{7,}}')) AS run
+  FROM documents
+), counted AS (SELECT k, run, count(*) AS times FROM runs GROUP BY ALL),
+hashed AS (SELECT *, {crc32("k || ':' || run")} AS h FROM counted),
+words AS (
+  SELECT CASE WHEN h % 31 = 0
+              THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+              ELSE run END AS word, times
+  FROM hashed
+), vocab AS (
+  SELECT word, sum(times)::BIGINT AS n FROM words WHERE length(word) >= 7
+  GROUP BY word HAVING sum(times) >= 2
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM places
+), near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n
+  FROM cut a JOIN cut b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN vocab b ON b.word = a.head || a.tail
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN vocab b ON b.word = a.head || a.tail
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place,
+         count(*) OVER (PARTITION BY word) AS n_near
+  FROM near
+), found AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN near_n >= 10 * v.n THEN near END AS form,
+         CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+  FROM vocab v LEFT JOIN ranked r ON r.word = v.word AND place = 1
+), follow(word, reached) AS (
+  SELECT word, word FROM found
+  UNION ALL
+  SELECT f.word, g.form FROM follow f JOIN found g ON g.word = f.reached WHERE g.form IS NOT NULL
+), ends AS (
+  SELECT f.word, f.reached AS root FROM follow f JOIN found g ON g.word = f.reached WHERE g.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN ends USING (word)
+"""
+
+SHARDS = f"""
+WITH leaves(region, rack, shard, old) AS (
+  SELECT s // 4, s % 4 // 2, s::INT, true FROM range(16) t(s) UNION ALL VALUES (4, 0, 16, false)
+), trees AS (
+  SELECT region, rack, shard, grown FROM leaves, (VALUES (true), (false)) t(grown) WHERE old OR grown
+), nodes AS (
+  SELECT grown, region, NULL AS rack, NULL AS shard, region::VARCHAR AS name, count(*) AS weight
+  FROM trees GROUP BY ALL
+  UNION ALL
+  SELECT grown, region, rack, NULL, region || '/' || rack, count(*) FROM trees GROUP BY ALL
+  UNION ALL
+  SELECT grown, region, rack, shard, region || '/' || rack || '/' || shard, 1 FROM trees
+), keys AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, '') AS k FROM documents),
+drawn AS (
+  SELECT k, nodes.*, -ln((('0x' || substr(md5(name || ':' || k), 1, 13))::BIGINT::DOUBLE + 0.5)
+                         / power(16::DOUBLE, 13)) / weight AS draw
+  FROM keys, nodes
+), in_region AS (
+  SELECT k, grown, arg_min(region, draw) AS region FROM drawn WHERE rack IS NULL GROUP BY ALL
+), in_rack AS (
+  SELECT k, grown, region, arg_min(rack, draw) AS rack FROM drawn JOIN in_region USING (k, grown, region)
+  WHERE rack IS NOT NULL AND shard IS NULL GROUP BY ALL
+), in_shard AS (
+  SELECT k, grown, arg_min(shard, draw) AS shard FROM drawn JOIN in_rack USING (k, grown, region, rack)
+  WHERE shard IS NOT NULL GROUP BY ALL
+), sized AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, (coalesce(strlen(text), 0) + 1)::BIGINT AS size,
+         {crc32("coalesce(text, '')")} AS text_crc32
+  FROM documents
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, a.shard::INT AS shard,
+       row_number() OVER (PARTITION BY a.shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       b.shard::INT AS grown_shard
+FROM sized JOIN in_shard a ON a.k = sized.k AND NOT a.grown JOIN in_shard b ON b.k = sized.k AND b.grown
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": MIX, "op8_url_filters": URLS, "op9_ngram_jaccard": JACCARD}
+    return {
+        "op1_mix_sources": MIX,
+        "op8_url_filters": URLS,
+        "op9_ngram_jaccard": JACCARD,
+        "op11_spelling_variants": SPELLING,
+        "op13_sharding": SHARDS,
+    }

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histmerge.llm import html, jaccard, langid, mix, quality, repeats, templates, tokens, toxicity, urls
+from histmerge.llm import (
+    html, jaccard, langid, mix, quality, repeats, shards, spelling, templates, tokens, toxicity, urls,
+    whiten,
+)
 from histmerge.llm.batches import table, with_columns
 from histmerge.workspace import Workspace
 
@@ -93,9 +96,24 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), Workspace(spark))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign_shards(
+        table(spark, sf_dir, "documents"), Workspace(spark), shards.layout(16)
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_mix_sources, op2_language_id, op3_toxicity, op4_suffix_dedup, op5_decontaminate,
         op6_quality_rules, op7_token_files, op8_url_filters, op9_ngram_jaccard, op10_html_text,
+        op11_spelling_variants, op12_embedding_whitening, op13_sharding,
     ]
     return {f.__name__: f for f in found}
