@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from histmerge.operators.lookup import lookup
 
@@ -45,6 +49,38 @@ def repeated(df: DataFrame, key: list[str]) -> DataFrame:
     return counted.agg(F.count_if(F.col("rows") > 1).alias("repeated"))
 
 
+def repeated_values(
+    tables: Sequence[tuple[str, DataFrame, list[str]]],
+) -> list[tuple[str, str, int]]:
+    """``(table, key, how many values of it repeat)`` for each key that does, in one job.
+
+    Like :func:`repeated` for several keys at once: number keys (one column) and
+    text keys (up to two) are grouped side by side.
+    """
+    parts = []
+    for name, df, key in tables:
+        there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+        for column in key:
+            if column in MAY_BE_EMPTY:
+                there = there & (F.col(column) != "")
+        number = isinstance(df.schema[key[0]].dataType, T.IntegralType)
+        texts = [F.col(c).cast("string") for c in key] if not number else []
+        texts += [F.lit(None).cast("string")] * (2 - len(texts))
+        parts.append(
+            df.where(there).select(
+                F.lit(name).alias("table_name"),
+                F.lit("+".join(key)).alias("key"),
+                (F.col(key[0]).cast("bigint") if number else F.lit(None).cast("bigint")).alias("n"),
+                texts[0].alias("a"),
+                texts[1].alias("b"),
+            )
+        )
+    rows = reduce(DataFrame.unionAll, parts)
+    twice = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    found = twice.groupBy("table_name", "key").agg(F.count(F.lit(1)).alias("repeated"))
+    return [tuple(r) for r in found.orderBy("table_name", "key").collect()]  # a row for each key
+
+
 def orphan_visits(visits: DataFrame, places: DataFrame) -> DataFrame:
     """One row: how many visits belong to no place."""
     missing = dangling(visits, "place_id", places)

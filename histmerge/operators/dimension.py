@@ -7,21 +7,16 @@ every source id is mapped to the id its key has afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histmerge.operators.ids import assign_ids, rows_and_largest_id
-from histmerge.operators.lookup import (
-    fits_broadcast,
-    is_batch,
-    keys_among,
-    lookup,
-    translate,
-)
+from histmerge.operators.ids import assign_ids
+from histmerge.operators.lookup import is_batch, keys_among, lookup, small, translate
+from histmerge.operators.measure import Asked, Measured, measure
 from histmerge.workspace import Workspace
 
 # How the values of one column are put together: over the source rows of one
@@ -52,18 +47,82 @@ class MergeRules:
 
 @dataclass
 class DimensionMerge:
-    """Result of :func:`merge_dimension`."""
+    """Result of :func:`merge_dimension`.
 
-    table: DataFrame  # the complete merged table
-    inserted: DataFrame  # its new rows alone
-    keys: DataFrame  # (key columns, id, source_rows, is_new), one row per source key
+    The keys of both sides are written; all else is made when asked for. New rows
+    are numbered once, for the first that asks for a final id.
+    """
+
+    src: DataFrame
+    dst: DataFrame
+    key_columns: list[str]
+    matched: DataFrame  # written: keys, combined values, first_id, source_rows, dst_id
     stats: DataFrame  # one row: rows_read, rows_inserted, rows_merged
-    write_id_map: Callable[[], DataFrame]
+    rules: MergeRules
+    work: Workspace
+    id_col: str
+    name: str
+    start: int  # largest id of the destination
+    least: int  # smallest id of the source
+    fits: bool  # whether the matched keys are small
+    map_fits: bool  # whether an id map of the source is small
+
+    @property
+    def _hit(self) -> DataFrame:
+        return self.matched.where("dst_id IS NOT NULL").withColumn("_id", F.col("dst_id"))
+
+    @property
+    def _unseen(self) -> DataFrame:
+        return self.matched.where("dst_id IS NULL")
+
+    @cached_property
+    def _new(self) -> DataFrame:
+        """The new keys with their final ids, in source order without gaps."""
+        return assign_ids(
+            self._unseen, self.start, self.work, "first_id", to="_id", name=self.name
+        )
+
+    @cached_property
+    def inserted(self) -> DataFrame:
+        """The new rows of the merged table."""
+        return _inserted(self.src, self._new, self.dst.columns, self.rules, self.id_col)
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """Destination rows (all, or the part that is wanted) combined with the source's."""
+        return _kept(rows, self._hit, self.dst.columns, self.rules, self.id_col)
+
+    @property
+    def table(self) -> DataFrame:
+        """The complete merged table."""
+        return self.kept(self.dst).unionByName(self.inserted)
+
+    @property
+    def keys(self) -> DataFrame:
+        """Key columns, id, source_rows and is_new, one row per source key."""
+        return self._hit.unionByName(self._new).select(
+            *self.key_columns,
+            F.col("_id").alias(self.id_col),
+            "source_rows",
+            F.col("dst_id").isNull().alias("is_new"),
+        )
 
     @cached_property
     def id_map(self) -> DataFrame:
         """Where every source id went (``old_id``, ``new_id``); written when first asked for."""
-        return self.write_id_map()
+        return self._map(self._new)
+
+    @cached_property
+    def trial_map(self) -> DataFrame:
+        """Like ``id_map`` for a merge that is only counted: new keys are told apart
+        by numbers after all ids of the destination, which are not their final ids."""
+        apart = F.lit(self.start + 1 - self.least) + F.col("first_id")
+        return self._map(self._unseen.withColumn("_id", apart))
+
+    def _map(self, new: DataFrame) -> DataFrame:
+        key_ids = self._hit.unionByName(new).select(*self.key_columns, F.col("_id").alias("new_id"))
+        ids = self.src.select(*self.key_columns, F.col(self.id_col).alias("old_id"))
+        found = lookup(ids, key_ids, self.key_columns, spread=["old_id"], fits=self.fits)
+        return self.work.keep(found.select("old_id", "new_id"), f"{self.name}-ids")
 
 
 def _combined(column: str, rule: str, id_col: str, values: str) -> Column:
@@ -138,13 +197,16 @@ def merge_dimension(
     id_col: str = "id",
     id_maps: Mapping[str, DataFrame] | None = None,
     name: str = "dimension",
+    known: tuple[Measured, Measured] | None = None,
+    maps_fit: bool | None = None,
 ) -> DimensionMerge:
     """Merge ``src`` into ``dst``; both have the key columns and ``id_col``.
 
     Key columns hold no NULL (``conform`` reads missing required text as empty),
     and ids are unique on each side. ``id_maps`` translates foreign keys combined
     by "last": the last id that the map holds wins, and an inserted row without
-    any keeps its raw id.
+    any keeps its raw id. ``known`` is what was measured of both sides, and
+    ``maps_fit`` whether the id maps are small; both are found out otherwise.
 
     Movement of data: the keys of both sides and the source's combined columns
     once, reduced; the new keys once more, by range, to number them in order.
@@ -152,45 +214,33 @@ def merge_dimension(
     at all where the other side of that join is small.
     """
     rules = rules or MergeRules()
-    columns = dst.columns
     moved, last_from = src, {}
     for column, id_map in (id_maps or {}).items():
         if rules.combine.get(column) != "last":
             raise ValueError(f"{column} is translated, so its rule must be last")
         last_from[column] = f"_moved_{column}"
-        moved = translate(moved, id_map, column, last_from[column], spread=[id_col])
-    dst_rows, start = rows_and_largest_id(dst, id_col)
+        moved = translate(
+            moved, id_map, column, last_from[column], spread=[id_col], fits=maps_fit
+        )
+    if known is None:
+        sides = measure({"src": Asked(src, keys, id_col), "dst": Asked(dst, (), id_col)})
+        known = sides["src"], sides["dst"]
+    here, there = known
     seen = dst.select(*keys, id_col)
-    if is_batch(src.select(*keys), src.count(), dst_rows):
-        seen = keys_among(seen, keys, src)
+    if is_batch(here.rows, there.rows, len(keys), here.key_bytes):
+        seen = keys_among(seen, keys, src, fits=True)
     groups = collapse(moved, keys, rules, id_col, last_from, seen)
     matched = work.keep(groups, f"{name}-keys")
-    is_new = F.col("dst_id").isNull()
-    new = assign_ids(matched.where(is_new), start, work, "first_id", to="_id", name=name)
-    hit = matched.where(~is_new).withColumn("_id", F.col("dst_id"))
-
-    def write_id_map() -> DataFrame:
-        key_ids = hit.unionByName(new).select(*keys, F.col("_id").alias("new_id"))
-        small = fits_broadcast(matched.select(*keys, "dst_id"))
-        ids = src.select(*keys, F.col(id_col).alias("old_id"))
-        found = lookup(ids, key_ids, keys, spread=["old_id"], small=small)
-        return work.keep(found.select("old_id", "new_id"), f"{name}-ids")
-
-    inserted = _inserted(src, new, columns, rules, id_col)
-    kept = _kept(dst, hit, columns, rules, id_col)
     stats = matched.agg(
         F.coalesce(F.sum("source_rows"), F.lit(0)).cast("bigint").alias("rows_read"),
-        F.count_if(is_new).alias("rows_inserted"),
+        F.count_if(F.col("dst_id").isNull()).alias("rows_inserted"),
     ).withColumn("rows_merged", F.col("rows_read") - F.col("rows_inserted"))
     return DimensionMerge(
-        table=kept.unionByName(inserted),
-        inserted=inserted,
-        keys=hit.unionByName(new).select(
-            *keys, F.col("_id").alias(id_col), "source_rows", is_new.alias("is_new")
-        ),
-        stats=stats,
-        write_id_map=write_id_map,
-    )
+        src=src, dst=dst, key_columns=keys, matched=matched, stats=stats, rules=rules, work=work,
+        id_col=id_col, name=name, start=there.largest_id, least=here.least_id,
+        # Of the source's keys there are at most as many as rows.
+        fits=small(here.rows, len(keys) + 1, here.key_bytes), map_fits=small(here.rows, 2),
+    )
 
 
 def _inserted(

@@ -43,9 +43,12 @@ def fits_broadcast(table: DataFrame) -> bool:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             sizes.append(F.sum(F.octet_length(field.name)).alias(f"bytes{len(sizes)}"))
     rows, *texts = table.agg(*sizes).first()
-    text_bytes = sum(size or 0 for size in texts)
-    fixed_bytes = 8 * len(table.columns) * rows
-    return rows <= BROADCAST_ROWS and fixed_bytes + text_bytes <= BROADCAST_BYTES
+    return small(rows, len(table.columns), sum(size or 0 for size in texts))
+
+
+def small(rows: int, columns: int, text_bytes: int = 0) -> bool:
+    """Whether a table of known size is within the bounds of a broadcast."""
+    return rows <= BROADCAST_ROWS and 8 * columns * rows + text_bytes <= BROADCAST_BYTES
 
 
 def heavy_keys(df: DataFrame, keys: list[str]) -> dict[int, int]:
@@ -85,17 +88,17 @@ def lookup(
     keys: list[str],
     how: str = "left",
     spread: list[str] | None = None,
-    small: bool | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Join ``df`` to ``table`` (one row per key), safe for heavy keys of ``df``.
 
     ``spread`` names columns of ``df`` that differ between rows of one key; by
     default all. Rows with a NULL key match nothing and are spread as well.
-    ``small`` skips the size check when the caller has made it.
+    ``fits`` says whether ``table`` is small where the caller knows its size.
     """
-    if small is None:
-        small = fits_broadcast(table)
-    if small:
+    if fits is None:
+        fits = fits_broadcast(table)
+    if fits:
         return df.join(F.broadcast(table), keys, how)
     heavy = heavy_keys(df, keys)
     spread_hash = F.xxhash64(*(spread or df.columns))
@@ -123,18 +126,20 @@ def newest_id(dst: DataFrame, keys: list[str], dst_id: str = "id") -> DataFrame:
 
 
 def translate(
-    df: DataFrame, id_map: DataFrame, column: str, to: str, spread: list[str] | None = None
-) -> DataFrame:
+    df: DataFrame, id_map: DataFrame, column: str, to: str, spread: list[str] | None = None,
+    fits: bool | None = None,
+) -> DataFrame:
     """Add ``to``: ``column`` through an id map (``old_id``, ``new_id``), else NULL."""
     renamed = id_map.select(F.col("old_id").alias(column), F.col("new_id").alias(to))
-    return lookup(df, renamed, [column], spread=spread)
+    return lookup(df, renamed, [column], spread=spread, fits=fits)
 
 
 def remap(
-    df: DataFrame, id_map: DataFrame, column: str, spread: list[str] | None = None
-) -> DataFrame:
+    df: DataFrame, id_map: DataFrame, column: str, spread: list[str] | None = None,
+    fits: bool | None = None,
+) -> DataFrame:
     """Replace ``column`` through an id map; ids it does not hold stay as they are."""
-    moved = translate(df, id_map, column, "_new_id", spread)
+    moved = translate(df, id_map, column, "_new_id", spread, fits)
     return moved.select(
         *[
             F.coalesce("_new_id", column).alias(column) if c == column else F.col(c)
@@ -143,14 +148,22 @@ def remap(
     )
 
 
-def is_batch(src_keys: DataFrame, src_rows: int, dst_rows: int) -> bool:
+def is_batch(src_rows: int, dst_rows: int, columns: int, text_bytes: int = 0) -> bool:
     """Whether broadcasting a source's keys spares shuffling those of a large destination."""
-    return src_rows * BATCH_RATIO <= dst_rows and fits_broadcast(src_keys)
+    return src_rows * BATCH_RATIO <= dst_rows and small(src_rows, columns, text_bytes)
 
 
-def keys_among(df: DataFrame, keys: list[str], batch: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key a batch has; ``df`` is cut down without moving."""
-    return df.join(F.broadcast(batch.select(*keys)), keys, "left_semi")
+def keys_among(
+    df: DataFrame, keys: list[str], batch: DataFrame, fits: bool | None = None
+) -> DataFrame:
+    """Rows of ``df`` whose key a batch has; ``df`` stays in place where the batch is small.
+
+    The size is checked here unless the caller knows that it ``fits``.
+    """
+    held = batch.select(*keys)
+    if fits is None:
+        fits = fits_broadcast(held)
+    return df.join(F.broadcast(held) if fits else held.distinct(), keys, "left_semi")
 
 
 def unseen(src: DataFrame, dst: DataFrame, keys: list[str]) -> DataFrame:

@@ -189,11 +189,6 @@ UP_TO_ORIGINS = DECLARED + ORIGIN_MERGE
 UP_TO_PLACES = UP_TO_ORIGINS + PLACE_MERGE
 UP_TO_VISITS = UP_TO_PLACES + VISIT_MERGE
 UP_TO_STATS = UP_TO_VISITS + COUNTS
-# Only visits of places the source has: the run that may be published.
-MAPPED_ONLY = UP_TO_STATS.replace(
-    "FROM src_visits)", "FROM src_visits WHERE place_id IN (SELECT id FROM src_places))"
-)
-
 ORPHANS = (
     "SELECT count(*) AS orphans FROM {0} v WHERE NOT EXISTS"
     " (SELECT 1 FROM merged_places p WHERE p.id = v.place_id)"
@@ -295,9 +290,14 @@ def oracle_sql() -> dict[str, str]:
             DECLARED,
         ),
         "contract_violations": with_views(
-            "SELECT 'id' AS column_name, count(*) FILTER (id IS NULL) AS violations FROM sp"
-            " UNION ALL SELECT 'last_visit_date', count(*) FILTER (last_visit_date IS NULL) FROM sp"
-            " UNION ALL SELECT 'origin_id', count(*) FILTER (origin_id IS NULL) FROM sp",
+            " UNION ALL ".join(
+                f"SELECT '{name}' AS table_name, '{f.name}' AS column_name, {f.nullable} AS may_be_null,"
+                f" count(*) FILTER ({f.name} IS NULL) AS nulls FROM {view}"
+                for name, view, fields in (
+                    ("origins", "so", ORIGINS), ("places", "sp", PLACES), ("visits", "sv", VISITS)
+                )
+                for f in fields
+            ),
             DECLARED,
         ),
         "table_counts": with_views(
@@ -461,12 +461,12 @@ def oracle_sql() -> dict[str, str]:
             UP_TO_STATS,
         ),
         "publish_versioned": with_views(
-            f"SELECT {place_columns} FROM scored_places", MAPPED_ONLY
+            f"SELECT {place_columns} FROM scored_places", UP_TO_STATS
         ),
         "publish_second_run": with_views(
             "SELECT v.id, v.place_id, v.visit_date, v.visit_type, p.url FROM merged_visits v"
             " JOIN merged_places p ON p.id = v.place_id",
-            MAPPED_ONLY,
+            UP_TO_STATS,
         ),
         "incremental_visits": with_views(
             f"SELECT {visit_columns} FROM merged_visits", UP_TO_VISITS

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from histmerge.functions import keys as K
 from histmerge.functions.score import later_of
@@ -26,15 +26,13 @@ from histmerge.operators.score import rescore
 from histmerge.plans import history as H
 from histmerge.plans.oracles import NOW_US, RUN_ID
 from histmerge.sources import tables
-from histmerge.sources.derived import derived_history, derived_view, raw_tables
+from histmerge.sources.derived import derived_history, derived_view
 from histmerge.sources.publish import Publication
-from histmerge.sources.schema import VISITS, Field, conform, contract_violations
+from histmerge.sources.schema import TABLES, VISITS, conform, contract_violations
 from histmerge.sources.tables import History
 from histmerge.streaming.incremental import merge_arriving_visits
 from histmerge.workspace import Workspace
 
-VISITS_COLUMNS = [field.name for field in VISITS]
-
 # Sides and upstream merges of this session, written or built once per input.
 _built: dict[tuple[str, str], Inputs] = {}
 
@@ -123,10 +121,21 @@ def _seed_keys(i: Inputs) -> DataFrame:
 
 
 def _contract(i: Inputs) -> DataFrame:
-    required = ["id", "last_visit_date", "origin_id"]
-    return contract_violations(
-        i.src.places, [Field(c, T.LongType(), nullable=False) for c in required]
-    )
+    """NULLs in every declared column of three tables, whether allowed there or not."""
+    counted = []
+    for name, df in i.src.tables().items():
+        declared = TABLES[name]
+        strict = [replace(field, nullable=False) for field in declared]
+        allowed = F.col("column_name").isin([f.name for f in declared if f.nullable])
+        counted.append(
+            contract_violations(df, strict).select(
+                F.lit(name).alias("table_name"),
+                "column_name",
+                allowed.alias("may_be_null"),
+                F.col("violations").alias("nulls"),
+            )
+        )
+    return reduce(DataFrame.unionByName, counted)
 
 
 def _collapse_places(i: Inputs) -> DataFrame:
@@ -178,15 +187,15 @@ def _merged_counts(i: Inputs) -> DataFrame:
     return before.join(F.broadcast(after), "table_name")  # three rows each
 
 
+# The derived sides hold references into nowhere, which a run refuses by default.
+WHOLE = H.MergeOptions(accept=("missing origins", "missing places"))
+
+
 def _published(i: Inputs) -> tuple[Publication, Workspace]:
-    """A whole published run. Visits without a source place would be refused."""
+    """A whole published run."""
     work = Workspace(i.spark, RUN_ID)
     target = Publication(i.spark, i.work.keep_path("published"))
-    mapped = i.src.visits.join(
-        i.src.places.select(F.col("id").alias("place_id")), "place_id", "left_semi"
-    )
-    src = History(i.src.origins, i.src.places, mapped.select(*i.src.visits.columns), i.src.meta)
-    H.run_merge(src, i.dst, target, NOW_US, work)
+    H.run_merge(i.src, i.dst, target, NOW_US, work, WHOLE)
     return target, work
 
 
@@ -202,24 +211,32 @@ def _second_run(i: Inputs) -> DataFrame:
     visits are published already, and every visit must stay with its place.
     """
     target, work = _published(i)
-    H.run_merge(i.dst, None, target, NOW_US, work)
+    H.run_merge(i.dst, None, target, NOW_US, work, WHOLE)
     places = target.read("places").select(F.col("id").alias("place_id"), "url")
     return target.read("visits").join(places, "place_id").select("id", *K.VISIT_KEY, "url")
 
 
+#: Files that the events arrive in, one for each batch of the stream.
+ARRIVALS = 4
+
+
 def _incremental(i: Inputs) -> DataFrame:
-    """The events folder as a file stream, merged batch by batch."""
+    """All events as a file stream, merged batch by batch in the order of their ids."""
     target = Publication(i.spark, i.work.keep_path("stream-target"))
-    target.publish({"visits": i.dst.visits}, "before")
-    schema = raw_tables(i.spark, i.sf_dir)["events"].schema
-    # A glob, since a stream takes a plain path for a folder, and this may be one file.
-    arriving = i.spark.readStream.schema(schema).parquet(f"{i.sf_dir}/event[s].parquet")
-    visits = conform(derived_view("src_visits", events=arriving), VISITS)
+    target.publish({"visits": i.dst.visits})
+    events, folder = i.table("events"), i.work.keep_path("arriving")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = (high - low) // ARRIVALS + 1
+    for n in range(ARRIVALS):
+        inside = F.col("event_id").between(low + n * step, low + (n + 1) * step - 1)
+        events.where(inside).coalesce(1).write.mode("append").parquet(folder)
+    reader = i.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    visits = conform(derived_view("src_visits", events=reader.parquet(folder)), VISITS)
     query = merge_arriving_visits(
         visits, target, i.places.id_map, i.work.keep_path("stream-state"), "arriving"
     )
     query.awaitTermination()
-    return target.read("visits").select(*VISITS_COLUMNS)
+    return target.read("visits")
 
 
 def _repeated(i: Inputs) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,9 +168,14 @@ def contract_violations(df: DataFrame, fields: list[Field]) -> DataFrame:
     return counted.selectExpr(f"stack({len(required)}, {pairs}) AS (column_name, violations)")
 
 
+def refuse_nulls(nulls: Mapping[str, int], table: str) -> None:
+    """Raise when NULLs were counted in required columns."""
+    if broken := {c: n for c, n in nulls.items() if n}:
+        detail = ", ".join(f"{c}: {n}" for c, n in broken.items())
+        raise ContractError(f"{table} holds NULL in required columns ({detail})")
+
+
 def check_contract(df: DataFrame, fields: list[Field], table: str) -> None:
     """Raise when a required column holds NULL anywhere in the table."""
-    broken = contract_violations(df, fields).where("violations > 0").collect()
-    if broken:
-        detail = ", ".join(f"{r['column_name']}: {r['violations']}" for r in broken)
-        raise ContractError(f"{table} holds NULL in required columns ({detail})")
+    found = contract_violations(df, fields).collect()  # one row per column
+    refuse_nulls({r["column_name"]: r["violations"] for r in found}, table)

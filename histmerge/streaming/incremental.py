@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import partial
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from histmerge.functions.keys import VISIT_KEY
 from histmerge.operators.checks import ValidationError, orphan_visits
 from histmerge.operators.facts import merge_facts
-from histmerge.sources.publish import Publication
-from histmerge.sources.schema import VISITS, check_contract
+from histmerge.operators.measure import Asked, Measured, measure
+from histmerge.sources.publish import Publication, TableState
+from histmerge.sources.schema import VISITS, refuse_nulls
 from histmerge.workspace import Workspace
 
 
@@ -29,32 +34,45 @@ def merge_arriving_visits(
     number it has. No state or watermark: what was seen before is the published
     table. A batch that breaks the declared contract, or brings a visit without
     a published place (where places are published), stops the stream unpublished.
+
+    A batch reads published visits of its own dates' parts only, and takes the
+    row count and the largest id from the published state, so its cost follows
+    the batch and not the history.
     """
 
     def merge_batch(batch: DataFrame, number: int) -> None:
         work = Workspace(target.spark, f"{stream_id}-{number}")
-        arrived = work.keep(batch, "arrived")
-        if arrived.isEmpty():
-            return
-        check_contract(arrived, VISITS, "arriving visits")
-        merged = merge_facts(
-            arrived,
-            target.read("visits"),
-            VISIT_KEY,
-            work,
-            id_maps={"place_id": place_ids},
-            between="visit_date",
-            name="visits",
-        )
-        new = work.keep(merged.inserted, "new-visits")
-        if new.isEmpty():
+        required = {f.name: F.count_if(F.col(f.name).isNull()) for f in VISITS if not f.nullable}
+        arrived, nulls = work.keep_observed(batch, "arrived", **required)
+        refuse_nulls(nulls, "arriving visits")
+        here = measure({"arrived": Asked(arrived, VISIT_KEY, between="visit_date")})["arrived"]
+        if not here.rows:
             return
-        check_contract(new, VISITS, "new visits")
-        if target.has("places"):
-            orphans = orphan_visits(new, target.read("places")).first()["orphans"]
-            if orphans:
-                raise ValidationError(f"{orphans} arriving visits belong to no place")
-        target.publish({"visits": new}, stream_id, number)
+        with target.claimed(f"{work.run_id}-{uuid.uuid4().hex[:8]}") as writer:
+            state = target.state()
+            held = state.get("visits", TableState())
+            merged = merge_facts(
+                arrived,
+                target.read("visits"),
+                VISIT_KEY,
+                work,
+                id_maps={"place_id": place_ids},
+                between="visit_date",
+                name="visits",
+                known=(here, Measured(rows=held.rows, largest_id=held.largest_id)),
+                within=partial(target.read_between, "visits"),
+            )
+            new, nulls = work.keep_observed(merged.inserted, "new-visits", **required, rows=F.count(F.lit(1)))
+            rows = nulls.pop("rows")
+            if not rows:
+                return
+            refuse_nulls(nulls, "new visits")
+            if "places" in state:
+                orphans = orphan_visits(new, target.read("places")).first()["orphans"]
+                if orphans:
+                    raise ValidationError(f"{orphans} arriving visits belong to no place")
+            after = TableState(held.rows + rows, held.largest_id + rows)
+            target.publish({"visits": new}, {"visits": after}, writer)
 
     writer = arriving.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

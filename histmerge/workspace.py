@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,3 +52,11 @@ class Workspace:
         path = self.keep_path(name)
         df.write.mode("error").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep_observed(
+        self, df: DataFrame, name: str, **metrics: Column
+    ) -> tuple[DataFrame, dict[str, object]]:
+        """Like ``keep``, with aggregates of ``df`` that the same write gathers."""
+        seen = Observation(name)
+        kept = self.keep(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name)
+        return kept, seen.get
