@@ -194,20 +194,24 @@ ORPHANS = (
     " (SELECT 1 FROM merged_places p WHERE p.id = v.place_id)"
 )
 
-LOOKUP = """
-site AS (SELECT page_id, host AS name, regexp_replace(page_url, '^[a-z]+://', '') AS path
+LOOKUP = r"""
+bare AS (SELECT page_id, host AS name, regexp_replace(page_url, '^[a-z]+://[^/]+/', '') AS rest
          FROM site_pages),
+site AS (SELECT name, '/site/' || name || CASE WHEN page_id % 3 = 0 THEN '/./' ELSE '//' END || rest
+                AS path FROM bare),
 asked AS (
-  SELECT name AS q FROM site
-  UNION SELECT regexp_extract(path, '^[^/]+/(.*)$', 1) FROM site
-  UNION SELECT regexp_extract(name, '^([^.]+)', 1) FROM site
-  UNION SELECT name || '/none' FROM site),
-clean AS (SELECT q, regexp_replace(q, '/$', '') AS cq FROM asked),
+  SELECT name AS q FROM bare
+  UNION SELECT CASE WHEN page_id % 2 = 1 THEN name || '/./' ELSE '' END || rest FROM bare
+  UNION SELECT regexp_extract(name, '^([^.]+)', 1) FROM bare
+  UNION SELECT name || '/none' FROM bare),
+clean_site AS (SELECT name, regexp_replace(regexp_replace(path, '/(\./|/)+', '/', 'g'), '/$', '') AS path
+               FROM site),
+clean AS (SELECT q, regexp_replace(regexp_replace(q, '/(\./|/)+', '/', 'g'), '/$', '') AS cq FROM asked),
 hits AS (
   SELECT q, 'name' AS tier, name FROM asked JOIN site ON name = q
   UNION ALL
-  SELECT q, 'path', name FROM clean JOIN site
-    ON regexp_replace(path, '/$', '') = cq OR ends_with(regexp_replace(path, '/$', ''), '/' || cq)
+  SELECT q, 'path', name FROM clean JOIN clean_site
+    ON cq = '' OR path = cq OR ends_with(path, '/' || cq)
   UNION ALL
   SELECT q, 'part', name FROM asked JOIN site ON contains(name, q)),
 tiers AS (

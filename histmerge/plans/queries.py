@@ -255,29 +255,35 @@ def _repeated(i: Inputs) -> DataFrame:
 
 
 def _site(i: Inputs) -> tuple[DataFrame, DataFrame]:
-    """Pages as a catalog of names and paths, and what is looked up in it."""
-    site = derived_view("site_pages", pages=i.table("pages")).select(
-        F.col("host").alias("name"),
-        F.regexp_replace("page_url", "^[a-z]+://", "").alias("path"),
+    """Pages as a catalog of names and paths, and what is looked up in it.
+
+    Every third path has steps that say nothing in it, and so has every query
+    for the path of a page with an odd number.
+    """
+    page, host, rest = F.col("page_id"), F.col("host"), F.col("rest")
+    bare = F.regexp_replace("page_url", "^[a-z]+://[^/]+/", "")
+    site = derived_view("site_pages", pages=i.table("pages")).withColumn("rest", bare)
+    catalog = site.select(
+        host.alias("name"),
+        F.concat(F.lit("/site/"), host, F.when(page % 3 == 0, "/./").otherwise("//"), rest).alias("path"),
     )
     asked = [
-        F.col("name"),
-        F.regexp_extract("path", "^[^/]+/(.*)$", 1),
-        F.regexp_extract("name", "^([^.]+)", 1),
-        F.concat("name", F.lit("/none")),
+        host,
+        F.concat(F.when(page % 2 == 1, F.concat(host, F.lit("/./"))).otherwise(""), rest),
+        F.regexp_extract(host, "^([^.]+)", 1),
+        F.concat(host, F.lit("/none")),
     ]
-    return site, site.select(F.explode(F.array(*asked)).alias("q")).distinct()
+    return catalog, site.select(F.explode(F.array(*asked)).alias("q")).distinct()
 
 
 def _answers(i: Inputs) -> tuple[DataFrame, DataFrame]:
-    site, asked = _site(i)
-    hits = i.work.keep(resolve.lookup_hits(site, asked), "hits")
-    return hits, resolve.tiered_lookup(hits, asked)
+    catalog, asked = _site(i)
+    return catalog, resolve.tiered_lookup(resolve.lookup_hits(catalog, asked), asked)
 
 
 def _ambiguous(i: Inputs) -> DataFrame:
-    hits, answers = _answers(i)
-    return resolve.ambiguous_names(hits, i.work.keep(answers, "answers"))
+    catalog, answers = _answers(i)
+    return resolve.ambiguous_names(catalog, i.work.keep(answers, "answers"))
 
 
 def _customers(i: Inputs) -> DataFrame:

@@ -1,5 +1,4 @@
 import random
-from pathlib import PurePosixPath
 
 import pytest
 
@@ -12,16 +11,20 @@ from histmerge.operators.resolve import (
 from tests.conftest import rows
 
 
+def steps_of(path):
+    """A path's components: the root, and all names but empty ones and later dots."""
+    found = [s for n, s in enumerate(path.split("/")) if s and (s != "." or n == 0)]
+    return (["/"] if path.startswith("/") else []) + found
+
+
 def expect(catalog, q):
     """The tiers by brute force: (status, tier, name, names of all hits)."""
-    steps = PurePosixPath(q).parts
+    steps = steps_of(q)
     by_name = [n for n, _ in catalog if n == q]
     by_path = [
-        n
-        for n, p in catalog
-        if not steps or PurePosixPath(p).parts[-len(steps):] == steps
+        n for n, p in catalog if p is not None and (not steps or steps_of(p)[-len(steps) :] == steps)
     ]
-    by_part = [n for n, _ in catalog if q in n]
+    by_part = [n for n, _ in catalog if n is not None and q in n]
     for tier, hits in (("name", by_name), ("path", by_path), ("part", by_part)):
         if len(hits) == 1:
             return "found", tier, hits[0], set(by_name + by_path + by_part)
@@ -35,23 +38,27 @@ CATALOG = [
     ("work", "/home/a/profiles/x3.work"),
     ("work", "/home/b/profiles/x4.work"),
     ("play", "/home/b/play/"),
+    ("dotted", "/home/u/a/./b"),
+    ("led", "./led/x"),
+    ("lost", None),
+    (None, "/home/c/nameless"),
 ]
 QUERIES = [
     "default", "default-release", "work", "x3.work", "profiles/x4.work", "b/play", "play/",
     "/home/b/play", "/b/play", "defau", "rele", "efault-", "nothing", "", "3.work", "a/x1.default",
-    "longer than any name in the catalog is", "home",
+    "longer than any name in the catalog is", "home", "a/b", "u/a/b", "a/./b/.", "./a/b", "led/x",
+    "./led/x", "home//u/./a/b", "/", ".", "d", "ed", "ult", "c/nameless", "os", "ost",
 ]
 
 
 def compare(spark, work, catalog, queries):
     df = spark.createDataFrame(catalog, "name string, path string")
     asked = spark.createDataFrame([(q,) for q in queries], "q string")
-    hits = work.keep(lookup_hits(df, asked), "hits")
-    answers = work.keep(tiered_lookup(hits, asked), "answers")
+    answers = work.keep(tiered_lookup(lookup_hits(df, asked), asked), "answers")
     got = {r["q"]: (r["status"], r["tier"], r["name"]) for r in answers.collect()}
     want = {q: expect(catalog, q) for q in queries}
     assert got == {q: w[:3] for q, w in want.items()}
-    names = rows(ambiguous_names(hits, answers))
+    names = rows(ambiguous_names(df, answers))
     assert names == sorted(
         ((q, n) for q, w in want.items() if w[0] == "ambiguous" for n in w[3]), key=repr
     )
@@ -65,8 +72,10 @@ def test_tiers_against_brute_force(spark, work):
 def test_random_catalogs_against_brute_force(spark, work, seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choices("ab", k=r.randrange(1, 4)))
-    catalog = [(word(), "/".join(word() for _ in range(r.randrange(1, 4)))) for _ in range(12)]
-    queries = {word() for _ in range(8)} | {f"{word()}/{word()}" for _ in range(8)}
+    slash = lambda: r.choice(["/", "/", "//", "/./"])
+    path = lambda: r.choice(["", "/", "./"]) + slash().join(word() for _ in range(r.randrange(1, 4)))
+    catalog = [("".join(word() for _ in range(r.randrange(1, 4))), path()) for _ in range(40)]
+    queries = {word() for _ in range(8)} | {word() + word() for _ in range(8)} | {path() for _ in range(8)}
     compare(spark, work, catalog, sorted(queries))
 
 
