@@ -10,10 +10,16 @@ Three ways, chosen by what is measured:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from histmerge.operators.measure import Asked, Measured, measure
+
 # Bounds of a broadcast table, checked before every broadcast.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -22,14 +28,14 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 # bounds, is a batch: the destination's keys are cut down to its keys in place.
 BATCH_RATIO = 20
 
-# A key is heavy from this many rows on, and from as many as a shuffle partition
-# has on average (or 1/HEAVY_KEYS of all rows, with fewer partitions). At most
-# HEAVY_KEYS keys are spread.
+# A key is heavy from this many rows on, and from the MOST_HEAVY-th part of all
+# rows, so that there are never more heavy keys than that. Rows of a heavy key are
+# divided into parts of as many rows. The sketch keeps ten counters for each.
 HEAVY_ROWS = 1_000_000
-HEAVY_KEYS = 200
-# The sketch finds every key above roughly 1/7000 of the rows with this size.
-SKETCH_ITEMS = 10_000
+MOST_HEAVY = 5_000
+SKETCH_ITEMS = 10 * MOST_HEAVY
 
+HASH, SPLITS = "_hash", "_splits"
 SALT = "_salt"
 
 
@@ -51,35 +57,39 @@ def small(rows: int, columns: int, text_bytes: int = 0) -> bool:
     return rows <= BROADCAST_ROWS and 8 * columns * rows + text_bytes <= BROADCAST_BYTES
 
 
-def heavy_keys(df: DataFrame, keys: list[str]) -> dict[int, int]:
-    """Hash of each heavy key and over how many tasks to spread it.
+@dataclass(frozen=True)
+class Heavy:
+    """Hash of each heavy key and into how many parts its rows go, and whether the
+    rows without a key are as many."""
 
-    One pass with a fixed-size sketch; at most ``HEAVY_KEYS`` numbers reach the
-    driver. The result only places rows, so its estimates cannot change a join.
-    """
-    present = F.lit(True)
-    for key in keys:
-        present = present & F.col(key).isNotNull()
-    top = (
-        df.where(present)
-        .select(F.xxhash64(*keys).alias("_hash"))
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.expr(f"approx_top_k(_hash, {HEAVY_KEYS}, {SKETCH_ITEMS})").alias("top"),
-        )
-        .first()
-    )
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    least = max(HEAVY_ROWS, (top["rows"] or 0) // max(partitions, HEAVY_KEYS))
-    return {t["item"]: t["count"] // least + 1 for t in top["top"] or [] if t["count"] >= least}
+    splits: Mapping[int, int]
+    unkeyed: bool = False
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``_hash, _splits`` of at most ``MOST_HEAVY`` keys."""
+        return spark.createDataFrame(list(self.splits.items()), f"{HASH} bigint, {SPLITS} bigint")
 
 
-def _splits(keys: list[str], heavy: dict[int, int]) -> Column:
-    if not heavy:
-        return F.lit(1).cast("bigint")
-    pairs = [F.lit(v) for item in heavy.items() for v in item]
-    found = F.try_element_at(F.create_map(*pairs), F.xxhash64(*keys))
-    return F.coalesce(found, F.lit(1)).cast("bigint")
+def _without(keys: list[str]) -> Column:
+    """Whether a row has NULL in a key."""
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+
+
+def heavy_keys(df: DataFrame, keys: list[str]) -> Heavy:
+    """The heavy keys of a table.
+
+    One pass with a fixed-size sketch; at most ``MOST_HEAVY`` numbers reach the
+    driver. The result only places rows, so its estimates cannot change a join.
+    """
+    none = _without(keys)
+    found = df.select(F.when(~none, F.xxhash64(*keys)).alias(HASH)).agg(
+        F.count(HASH).alias("rows"),
+        F.count_if(F.col(HASH).isNull()).alias("unkeyed"),
+        F.expr(f"approx_top_k({HASH}, {MOST_HEAVY}, {SKETCH_ITEMS})").alias("top"),
+    ).first()
+    least = max(HEAVY_ROWS, (found["rows"] or 0) // MOST_HEAVY)
+    top = [(t["item"], t["count"]) for t in found["top"] or [] if t["item"] is not None]
+    return Heavy({h: n // least + 1 for h, n in top if n >= least}, found["unkeyed"] >= least)
 
 
 def lookup(
@@ -95,29 +105,44 @@ def lookup(
     ``spread`` names columns of ``df`` that differ between rows of one key; by
     default all. Rows with a NULL key match nothing and are spread as well.
     ``fits`` says whether ``table`` is small where the caller knows its size.
+    Without a heavy key both sides are shuffled by the keys alone, so a side that
+    has just been grouped by them stays where it is.
     """
     if fits is None:
         fits = fits_broadcast(table)
     if fits:
         return df.join(F.broadcast(table), keys, how)
     heavy = heavy_keys(df, keys)
-    spread_hash = F.xxhash64(*(spread or df.columns))
-    unkeyed = F.lit(False)
-    for key in keys:
-        unkeyed = unkeyed | F.col(key).isNull()
-    salt = F.when(unkeyed, spread_hash).otherwise(F.pmod(spread_hash, _splits(keys, heavy)))
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), _splits(keys, heavy) - 1))
-    salted = table.withColumn(SALT, copies if heavy else F.lit(0).cast("bigint"))
-    return df.withColumn(SALT, salt).join(salted, [*keys, SALT], how).drop(SALT)
-
-
-def match(src: DataFrame, dst: DataFrame, keys: list[str], dst_id: str = "id") -> DataFrame:
+    if not heavy.splits and not heavy.unkeyed:
+        return df.join(table, keys, how)
+    known = F.broadcast(heavy.table(df.sparkSession))
+    parts = F.coalesce(SPLITS, F.lit(1).cast("bigint"))
+    number = F.xxhash64(*(spread or df.columns))
+    salt = F.when(_without(keys), number).otherwise(F.pmod(number, parts))
+    rows = df.withColumn(HASH, F.xxhash64(*keys)).join(known, HASH, "left")
+    copies = table.withColumn(HASH, F.xxhash64(*keys)).join(known, HASH, "left")
+    copies = copies.withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    salted = rows.withColumn(SALT, salt).drop(HASH, SPLITS)
+    return salted.join(copies.drop(HASH, SPLITS), [*keys, SALT], how).drop(SALT)
+
+
+def match(
+    src: DataFrame,
+    dst: DataFrame,
+    keys: list[str],
+    dst_id: str = "id",
+    held: Measured | None = None,
+) -> DataFrame:
     """Every source row with the destination id of its key, NULL where unseen.
 
     Of several destination rows with one key the largest id counts. Grouping
-    first leaves one row per key, so no destination key is heavy in the join.
+    first leaves one row per key, so no destination key is heavy in the join. The
+    grouping runs once: whether it is small is told by the rows that go into it
+    (``held``, measured in one pass without a shuffle where it is not given).
     """
-    return lookup(src, newest_id(dst, keys, dst_id), keys)
+    held = held or measure({"dst": Asked(dst, keys, dst_id)})["dst"]
+    fits = small(held.rows, len(keys) + 1, held.key_bytes)
+    return lookup(src, newest_id(dst, keys, dst_id), keys, fits=fits)
 
 
 def newest_id(dst: DataFrame, keys: list[str], dst_id: str = "id") -> DataFrame:

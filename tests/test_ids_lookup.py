@@ -69,12 +69,12 @@ def test_lookup_gives_the_same_rows_in_all_three_ways(spark, facts, work, monkey
     if way == "spread":
         monkeypatch.setattr(L, "HEAVY_ROWS", 20)
         heavy = L.heavy_keys(facts, ["a", "b"])
-        assert heavy and max(heavy.values()) > 10
+        assert max(heavy.splits.values()) > 10 and heavy.unkeyed
     try:
         got = L.lookup(facts, mapping, ["a", "b"], how)
         assert rows(got, "id", "a", "b", "v") == rows(want, "id", "a", "b", "v")
         plan = got._jdf.queryExecution().toString()
-        assert ("_salt" in plan) == (way != "broadcast")
+        assert ("_salt" in plan) == (way == "spread")
         assert ("Generate explode" in plan) == (way == "spread")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -86,10 +86,35 @@ def test_heavy_keys_finds_a_key_with_a_third_of_all_rows(spark, monkeypatch):
         F.when(F.col("id") % 3 == 0, F.lit(-5)).otherwise(F.col("id")).alias("k")
     )
     heavy = L.heavy_keys(df, ["k"])
-    assert len(heavy) == 1
-    (splits,) = heavy.values()
-    assert 50 <= splits <= 110  # 100,000 rows in parts of 1,500
-    assert L.heavy_keys(df.where("k >= 0"), ["k"]) == {}
+    (splits,) = heavy.splits.values()
+    assert splits == 101 and not heavy.unkeyed  # 100,000 rows in parts of 1,000
+    assert L.heavy_keys(df.where("k >= 0"), ["k"]) == L.Heavy({})
+
+
+def test_a_thousand_heavy_keys_are_all_spread(spark, monkeypatch):
+    monkeypatch.setattr(L, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(L, "HEAVY_ROWS", 20)
+    df = spark.range(100_000).select("id", (F.col("id") % 1000).alias("k"))
+    heavy = L.heavy_keys(df, ["k"])
+    assert len(heavy.splits) == 1000 and set(heavy.splits.values()) == {6}
+    table = spark.range(0, 1000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    got = L.lookup(df, table, ["k"], spread=["id"])
+    want = df.withColumn("v", F.when(F.col("k") % 2 == 0, F.col("k") * 10)).select(got.columns)
+    assert got.count() == 100_000 and got.exceptAll(want).isEmpty()
+
+
+def test_a_match_shuffles_each_side_once(spark, monkeypatch):
+    src = spark.range(1000).select("id", (F.col("id") % 50).alias("k"))
+    dst = spark.range(2000).select("id", (F.col("id") % 40).alias("k"))
+    monkeypatch.setattr(L, "BROADCAST_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = L.match(src, dst, ["k"])
+        assert got.where("dst_id IS NULL").count() == 200
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_size_check_counts_real_bytes(spark, work, monkeypatch):
