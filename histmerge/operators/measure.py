@@ -1,8 +1,8 @@
 """What a merge has to know of its tables, all of it from one pass.
 
 Counts, largest ids, ranges and missing values of any number of tables come out
-of a single job without a shuffle: each table is read once, in the columns that
-are asked for, while aggregates of it are observed.
+of one aggregation: each table is read once, in the columns that are asked for,
+and reduced to a row in every task before anything moves.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,34 +40,44 @@ class Measured:
     nulls: Mapping[str, int] = field(default_factory=dict)
 
 
+def _seen(name: str, a: Asked) -> DataFrame:
+    """A table's rows as what is aggregated of them."""
+    types = {f.name: f.dataType for f in a.table.schema.fields}
+    texts = [k for k in a.keys if isinstance(types[k], (T.StringType, T.BinaryType))]
+    columns = [
+        f"'{name}' AS name",
+        f"CAST(`{a.id_col}` AS BIGINT) AS id",
+        " + ".join(["0L", *[f"coalesce(octet_length(`{k}`), 0)" for k in texts]]) + " AS bytes",
+    ]
+    if a.between is not None:
+        columns.append(f"`{a.between}` AS between_{types[a.between].simpleString()}")
+    columns += [f"if(`{c}` IS NULL, 1L, NULL) AS `null_{c}`" for c in a.required if c in types]
+    return a.table.selectExpr(*columns)
+
+
 def measure(asked: Mapping[str, Asked]) -> dict[str, Measured]:
     """Measure tables by name. Reads only the columns that are asked for."""
-    seen, parts = {}, []
-    for name, a in asked.items():
-        types = {f.name: f.dataType for f in a.table.schema.fields}
-        texts = [F.octet_length(k) for k in a.keys if isinstance(types[k], (T.StringType, T.BinaryType))]
-        key_bytes = reduce(lambda x, y: x + F.coalesce(y, F.lit(0)), texts, F.lit(0))
-        between = a.between or a.id_col
-        required = [c for c in a.required if c in types]
-        columns = dict.fromkeys([a.id_col, between, *a.keys, *required])
-        seen[name] = Observation(name)
-        counted = a.table.select(*columns).observe(
-            seen[name],
-            F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.min(a.id_col), F.lit(0)).alias("least_id"),
-            F.coalesce(F.max(a.id_col), F.lit(0)).alias("largest_id"),
-            F.min(between).alias("low"),
-            F.max(between).alias("high"),
-            F.coalesce(F.sum(key_bytes), F.lit(0)).alias("key_bytes"),
-            *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in required],
-        )
-        parts.append(counted.select(F.lit(1).alias("one")))
-    reduce(DataFrame.unionAll, parts).write.format("noop").mode("overwrite").save()
+    # Statements rather than columns: built in a few calls, however many tables.
+    parts = {name: _seen(name, a) for name, a in asked.items()}
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts.values())
+    ranged = [c for c in rows.columns if c.startswith("between_")]
+    nulls = [c for c in rows.columns if c.startswith("null_")]
+    aggregates = [
+        "count(1) AS rows",
+        "coalesce(min(id), 0L) AS least_id",
+        "coalesce(max(id), 0L) AS largest_id",
+        "sum(bytes) AS key_bytes",
+        *[f"{f}(`{c}`) AS `{f}_{c}`" for c in ranged for f in ("min", "max")],
+        *[f"coalesce(sum(`{c}`), 0L) AS `{c}`" for c in nulls],
+    ]
+    counted = rows.groupBy("name").agg(*map(F.expr, aggregates))
     out = {}
-    for name, a in asked.items():
-        found = dict(seen[name].get)
-        nulls = {k[5:]: found.pop(k) for k in list(found) if k.startswith("null_")}
-        if a.between is None:
-            found["low"] = found["high"] = None
-        out[name] = Measured(**found, nulls=nulls)
-    return out
+    for r in counted.collect():  # one row per table
+        own = parts[r["name"]].columns
+        between = next((c for c in own if c in ranged), None)
+        out[r["name"]] = Measured(
+            r["rows"], r["least_id"], r["largest_id"],
+            r[f"min_{between}"] if between else None, r[f"max_{between}"] if between else None,
+            r["key_bytes"], {c.removeprefix("null_"): r[c] for c in own if c in nulls},
+        )
+    return {name: out.get(name, Measured()) for name in asked}
