@@ -95,9 +95,9 @@ def anything_moved(stats: Mapping[str, int]) -> bool:
 def meta_upsert(meta: DataFrame, new: DataFrame) -> DataFrame:
     """Key/value rows with ``new`` ones replacing those of the same key.
 
-    ``new`` holds the two rows of a run; the metadata table is as small.
+    Spark broadcasts the new rows if they are few, as the two of a run are.
     """
-    return meta.join(F.broadcast(new), "key", "left_anti").unionByName(new)
+    return meta.join(new.select("key").distinct(), "key", "left_anti").unionByName(new)
 
 
 def run_metadata(spark: SparkSession, now_us: int, stats: Mapping[str, int]) -> DataFrame:
