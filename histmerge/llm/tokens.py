@@ -23,7 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histmerge.llm.batches import binaries, map_batches, with_columns
+from histmerge.llm.batches import Texts, binaries, map_batches, slices, with_columns
 from histmerge.workspace import Workspace
 
 END = 0
 #: Ids of a block, and pieces of text that a Python worker remembers for its next
 #: batch unless told otherwise, about 150 bytes each. Results do not depend on it.
 BLOCK_IDS, MOST_PIECES = 1 << 18, 400_000
-#: Characters of text cut at once (one text at least), and pieces that the library
+#: Bytes of text cut at once (one text at least), and pieces that the library
 #: takes at once; its results are larger than the ids.
-SLICE_CHARS, AT_ONCE = 1 << 18, 4096
+SLICE_BYTES, AT_ONCE = 1 << 18, 4096
 #: Marks that a token of letters never holds; an apostrophe is not among them.
 MARKS = ".,;:!?#*$%&|"
 PIECES = re.compile(r"(?<=[^\s\u180e])(?= [^\s\u180e])")
@@ -76,11 +76,103 @@ def unpack(blob: bytes) -> np.ndarray:
     return out
 
 
+#: Bytes of a part that the table of known parts holds as three numbers; longer
+#: ones are kept as text.
+SHORT = 24
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+class Known:
+    """Short byte strings and a number for each, found many at a time.
+
+    The bytes themselves are the key, as three numbers and a length, in an open
+    table: equal entries are equal strings, whatever their hashes.
+    """
+
+    def __init__(self):
+        self.held = 0
+        self.words, self.sizes = np.empty((3, 0), np.uint64), np.empty(0, np.uint8)
+        self.values, self.slots = np.empty(0, np.int64), np.full(1 << 12, -1, np.int32)
+
+    @staticmethod
+    def read(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """The first ``SHORT`` bytes of each span as three numbers."""
+        padded = np.concatenate([data, np.zeros(SHORT + 8, np.uint8)])
+        eight = np.ndarray(len(data) + SHORT + 1, "<u8", padded, strides=(1,))
+        return [
+            eight[starts + 8 * k] & _MASKS[np.minimum(np.maximum(size - 8 * k, 0), 8)] for k in range(3)
+        ]
+
+    @staticmethod
+    def _hash(words: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+        h = size.astype(np.uint64)
+        for word, factor in zip(words, _FACTORS, strict=True):
+            h = (h ^ word) * factor
+            h ^= h >> np.uint64(32)
+        return h
+
+    def find(self, words: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+        """The number of each string, or -1."""
+        out = np.full(len(size), -1, np.int64)
+        if not self.held:
+            return out
+        at = (self._hash(words, size) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        rest = None
+        while True:
+            entry = self.slots[at]
+            same = (entry >= 0) & (self.sizes[entry] == size)
+            for held, word in zip(self.words, words, strict=True):
+                same &= held[entry] == word
+            hit = np.flatnonzero(same)
+            out[hit if rest is None else rest[hit]] = self.values[entry[hit]]
+            more = np.flatnonzero((entry >= 0) & ~same)
+            if not len(more):
+                return out
+            rest = more if rest is None else rest[more]
+            at = (at[more] + 1) & (len(self.slots) - 1)
+            words, size = [w[more] for w in words], size[more]
+
+    def add(self, words: list[np.ndarray], size: np.ndarray, values: np.ndarray) -> None:
+        """Add strings that are not held yet, each once."""
+        first = self.held
+        self.held += len(size)
+        if self.held > len(self.sizes):
+            grown = max(self.held, 2 * len(self.sizes))
+            self.words = np.concatenate([self.words, np.zeros((3, grown - len(self.sizes)), np.uint64)], 1)
+            self.values = np.concatenate([self.values, np.zeros(grown - len(self.sizes), np.int64)])
+            self.sizes = np.concatenate([self.sizes, np.zeros(grown - len(self.sizes), np.uint8)])
+        self.words[:, first : self.held] = words
+        self.sizes[first : self.held], self.values[first : self.held] = size, values
+        if 2 * self.held > len(self.slots):
+            self.slots = np.full(1 << int(4 * self.held).bit_length(), -1, np.int32)
+            first = 0
+        self._place(first)
+
+    def _place(self, first: int) -> None:
+        entry = np.arange(first, self.held, dtype=np.int32)
+        words, size = [w[first : self.held] for w in self.words], self.sizes[first : self.held]
+        at = (self._hash(words, size) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        while len(entry):
+            free = np.flatnonzero(self.slots[at] < 0)
+            self.slots[at[free]] = entry[free]  # of several that want a slot, one gets it
+            left = np.flatnonzero(self.slots[at] != entry)
+            entry, at = entry[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def below(self, most: int) -> Known:
+        """The strings whose number is smaller."""
+        out, keep = Known(), np.flatnonzero(self.values[: self.held] < most)
+        out.add([w[keep] for w in self.words], self.sizes[keep], self.values[keep])
+        return out
+
+
 class Encoder:
     """Ids of whole texts, each distinct piece tokenized once.
 
     A text is cut at every space. If a part is empty or has white space at an
     end, the text is cut by ``PIECES`` instead; such parts are never remembered.
+    Parts are compared as bytes of the batch; only those that are new become
+    Python strings.
     """
 
     def __init__(self, path: str, most: int = MOST_PIECES):
@@ -90,46 +182,65 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         # Pieces as they are, and parts that stand for a piece with a space before it.
         self.plain: dict[str, int] = {}
-        self.spaced: dict[str, int] = {}
+        self.spaced, self.long = Known(), {}
         self.ids, self.starts = np.empty(0, self.kind), np.zeros(1, np.int64)
 
     def _forget(self) -> None:
         """Keep the pieces met first; those are the frequent ones."""
         n = self.most // 2
         self.plain = {p: k for p, k in self.plain.items() if k < n}
-        self.spaced = {p: k for p, k in self.spaced.items() if k < n}
+        self.long = {p: k for p, k in self.long.items() if k < n}
+        self.spaced = self.spaced.below(n)
         self.starts = self.starts[: n + 1]
         self.ids = self.ids[: self.starts[-1]]
 
+    def _find(self, parts: list[str]) -> np.ndarray:
+        """The number of each part that stands for a piece with a space before it, or -1."""
+        raw = [p.encode() for p in parts]
+        size = np.array([len(r) for r in raw], np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        out = self.spaced.find(Known.read(data, np.cumsum(size) - size, size), size)
+        for k in np.flatnonzero(size > SHORT).tolist():
+            out[k] = self.long.get(parts[k], -1)
+        return out
+
+    def _remember(self, parts: list[str], first: int) -> None:
+        """Parts that are new, with numbers from ``first`` on."""
+        raw = [p.encode() for p in parts]
+        size = np.array([len(r) for r in raw], np.int64)
+        data, short = np.frombuffer(b"".join(raw), np.uint8), np.flatnonzero(size <= SHORT)
+        words = Known.read(data, np.cumsum(size) - size, size)
+        self.spaced.add([w[short] for w in words], size[short], first + short)
+        self.long.update((parts[k], first + k) for k in np.flatnonzero(size > SHORT).tolist())
+
     def _learn(self, plain: set[str], spaced: set[str]) -> None:
         """Tokenize what is new. A part that ends in marks after a letter is put
         together from the part before them and the marks, as the rule ends a
-        token between the two."""
+        token between the two. ``spaced`` has parts that are not known."""
         tails: list[tuple[str, str, str]] = []
         more: set[str] = set()
-        for part in spaced.difference(self.spaced):
+        for part in spaced:
             stem = part.rstrip(MARKS)
             if stem and stem is not part and stem[-1].isascii() and stem[-1].isalpha():
                 tails.append((part, stem, part[len(stem) :]))
-                if stem not in self.spaced:
-                    more.add(stem)
             else:
                 more.add(part)
-        new = sorted(plain.union(t[2] for t in tails).difference(self.plain))
-        more = sorted(more)
-        if new or more:
-            ids, counts = self._separately(new + [" " + x for x in more])
+        stems = list({t[1] for t in tails} - more)
+        more.update(stems[k] for k in np.flatnonzero(self._find(stems) < 0).tolist())
+        new = list(plain.union(t[2] for t in tails).difference(self.plain))
+        parts = list(more)
+        if new or parts:
+            ids, counts = self._separately(new + [" " + x for x in parts])
             first = self._add(ids, counts)
             self.plain.update(zip(new, range(first, first + len(new)), strict=True))
-            first += len(new)
-            self.spaced.update(zip(more, range(first, first + len(more)), strict=True))
+            self._remember(parts, first + len(new))
         if tails:
-            at = np.array([[self.spaced[s], self.plain[m]] for _, s, m in tails]).reshape(-1)
+            stem_at, mark_at = self._find([t[1] for t in tails]), [self.plain[t[2]] for t in tails]
+            at = np.array([stem_at, mark_at], np.int64).T.reshape(-1)
             size = self.starts[at + 1] - self.starts[at]
             before = np.cumsum(size) - size
             ids = self.ids[np.repeat(self.starts[at] - before, size) + np.arange(size.sum())]
-            first = self._add(ids, size.reshape(-1, 2).sum(1))
-            self.spaced.update((t[0], first + k) for k, t in enumerate(tails))
+            self._remember([t[0] for t in tails], self._add(ids, size.reshape(-1, 2).sum(1)))
 
     def _add(self, ids: np.ndarray, counts: np.ndarray) -> int:
         """The number of the first of the pieces that are added."""
@@ -146,27 +257,37 @@ class Encoder:
             found.extend(e.ids for e in some)
         return np.fromiter(chain.from_iterable(found), self.kind), np.array([*map(len, found)], np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, and how many each has; without the end id."""
-        cut = [t.split(" ") for t in texts]
-        parts = list(chain.from_iterable(cut))
-        count = np.array([len(p) for p in cut])
+        data, bounds = texts.data, texts.offsets
+        spaces = np.flatnonzero(data == 0x20)
+        starts = np.sort(np.concatenate([bounds[:-1], spaces + 1]), kind="stable")
+        ends = np.sort(np.concatenate([spaces, bounds[1:]]), kind="stable")
+        count = np.diff(np.searchsorted(spaces, bounds)) + 1
         row = np.repeat(np.arange(len(texts)), count)
         if len(self.starts) > self.most:
             self._forget()
-        at = np.fromiter(map(self.spaced.get, parts, repeat(-1)), np.int64, len(parts))
-        missing = np.flatnonzero(at < 0).tolist()
-        asked = [parts[k] for k in missing]
+        size = ends - starts
+        words = Known.read(data, starts, size)
+        at = self.spaced.find(words, size)
+        string = lambda k: data[starts[k] : ends[k]].tobytes().decode()
+        longer = np.flatnonzero(size > SHORT).tolist()
+        at[longer] = [self.long.get(string(k), -1) for k in longer]
+        missing = np.flatnonzero(at < 0)
+        asked = [string(k) for k in missing.tolist()]
         new = set(asked)
         odd = {p for p in new if p != p.strip() or not p or "\u180e" in p}
         self._learn(set(), new - odd)
-        at[missing] = np.fromiter(map(self.spaced.get, asked, repeat(-1)), np.int64, len(asked))
-        wrong = np.unique(row[at < 0])
-        by_rule = {k: PIECES.split(texts[k]) if texts[k] else [] for k in wrong.tolist()}
-        firsts = {k: p[0] for k, p in enumerate(cut) if k not in by_rule}
+        at[missing] = self.spaced.find([w[missing] for w in words], size[missing])
+        for k in np.flatnonzero(size[missing] > SHORT).tolist():
+            at[missing[k]] = self.long.get(asked[k], -1)
+        wrong = np.unique(row[at < 0]).tolist()
+        whole = {k: texts.text(k).decode() for k in wrong}
+        by_rule = {k: PIECES.split(t) if t else [] for k, t in whole.items()}
+        where = np.cumsum(count) - count
+        firsts = {k: string(where[k]) for k in range(len(texts)) if k not in by_rule}
         plain = set(firsts.values()).union(*by_rule.values())
         self._learn(plain, set())
-        where = np.cumsum(count) - count
         for k, p in firsts.items():
             at[where[k]] = self.plain[p]
         if by_rule:
@@ -200,25 +321,17 @@ def token_ids(docs: DataFrame, path: str, most: int = MOST_PIECES) -> DataFrame:
         encoder, squeeze = _encoder(path, most), zstandard.ZstdCompressor(level=1)
         end, wide = np.array([END], encoder.kind), encoder.kind.itemsize == 4
         for batch in batches:
-            ids, texts = batch.columns
-            lo = 0
-            while lo < len(texts):
-                part, hi, size = [], lo, 0
-                while hi < len(texts) and size < SLICE_CHARS:
-                    part.append(texts[hi].as_py() or "")
-                    size += len(part[-1])
-                    hi += 1
-                flat, counts = encoder.encode(part)
+            for part, texts in slices(batch, limit=SLICE_BYTES):
+                flat, counts = encoder.encode(texts)
                 cuts = np.cumsum(counts)
                 blobs = [
                     squeeze.compress(np.concatenate([x, end]).tobytes())
                     for x in np.split(flat, cuts[:-1])
                 ]
                 yield pa.record_batch(
-                    [ids.slice(lo, hi - lo), pa.array([wide] * (hi - lo)), binaries(blobs)],
+                    [part.column(0), pa.array([wide] * len(blobs)), binaries(blobs)],
                     ["doc_id", "wide", "ids"],
                 )
-                lo = hi
 
     plain = with_columns(docs, {"doc_id": "long", "text": "string"})
     return map_batches(plain, work, "doc_id long, wide boolean, ids binary")

@@ -339,3 +339,40 @@ def test_pipeline_runs(spark):
     found = corpus_pipeline.run(spark, str(DATA)).collect()
     assert found and all(r["n_tokens"] >= 1 for r in found)
     assert zlib.crc32(b"") == 0
+
+
+def test_encoder_equals_the_library_on_odd_texts():
+    import random as plain_random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from histmerge.llm.batches import slices
+
+    path = registered.tokenizer_path()
+    library, r = Tokenizer.from_file(path), plain_random.Random(5)
+    letters = [*"ab cd  .,!'\n\té᠎日本　\xa0", *" " * 6, "word", "longerwordthatgoesoverthelimit", "it's", "end.",
+               "\r\n", "x" * 24, "y" * 25]
+    for most in (50, 500, 10**6) * 3:
+        encoder = tokens.Encoder(path, most=most)
+        for limit in (50, 1000, 1 << 18):
+            texts = [None if k % 20 == 0 else "".join(r.choices(letters, k=r.randrange(40))) for k in range(100)]
+            found = []
+            for _, part in slices(pa.record_batch([pa.array(texts, pa.string())], ["text"]), limit=limit):
+                ids, counts = encoder.encode(part)
+                found += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+            assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_known_parts_are_found_by_their_bytes():
+    parts = list({bytes(random.integers(97, 99, int(n), dtype=np.uint8)) for n in random.integers(0, 25, 6000)})
+    size = np.array([len(p) for p in parts])
+    words = tokens.Known.read(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size)
+    known = tokens.Known()
+    for lo in range(0, len(parts), 700):
+        some = slice(lo, lo + 700)
+        assert (known.find([w[some] for w in words], size[some]) == -1).all()
+        known.add([w[some] for w in words], size[some], np.arange(len(parts))[some] * 3)
+    assert (known.find(words, size) == np.arange(len(parts)) * 3).all()
+    half = known.below(3000).find(words, size)
+    assert (half[:1000] == np.arange(1000) * 3).all() and (half[1000:] == -1).all()
