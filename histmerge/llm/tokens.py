@@ -183,16 +183,17 @@ class Encoder:
         # Pieces as they are, and parts that stand for a piece with a space before it.
         self.plain: dict[str, int] = {}
         self.spaced, self.long = Known(), {}
-        self.ids, self.starts = np.empty(0, self.kind), np.zeros(1, np.int64)
+        # The pieces' ids one after the other, where each begins, and how many there are.
+        self.ids, self.starts, self.count = np.zeros(1 << 12, self.kind), np.zeros(1 << 10, np.int64), 0
 
     def _forget(self) -> None:
         """Keep the pieces met first; those are the frequent ones."""
-        n = self.most // 2
+        n = self.count = self.most // 2
         self.plain = {p: k for p, k in self.plain.items() if k < n}
         self.long = {p: k for p, k in self.long.items() if k < n}
         self.spaced = self.spaced.below(n)
-        self.starts = self.starts[: n + 1]
-        self.ids = self.ids[: self.starts[-1]]
+        self.starts = self.starts[: n + 1].copy()
+        self.ids = self.ids[: self.starts[-1]].copy()
 
     def _find(self, parts: list[str]) -> np.ndarray:
         """The number of each part that stands for a piece with a space before it, or -1."""
@@ -244,9 +245,14 @@ class Encoder:
 
     def _add(self, ids: np.ndarray, counts: np.ndarray) -> int:
         """The number of the first of the pieces that are added."""
-        first = len(self.starts) - 1
-        self.ids = np.concatenate([self.ids, ids])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        first, used = self.count, self.starts[self.count]
+        self.count += len(counts)
+        if used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, max(used + len(ids), 2 * len(self.ids)))
+        if self.count >= len(self.starts):
+            self.starts = np.resize(self.starts, max(self.count + 1, 2 * len(self.starts)))
+        self.ids[used : used + len(ids)] = ids
+        self.starts[first + 1 : self.count + 1] = used + np.cumsum(counts)
         return first
 
     def _separately(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +271,7 @@ class Encoder:
         ends = np.sort(np.concatenate([spaces, bounds[1:]]), kind="stable")
         count = np.diff(np.searchsorted(spaces, bounds)) + 1
         row = np.repeat(np.arange(len(texts)), count)
-        if len(self.starts) > self.most:
+        if self.count > self.most:
             self._forget()
         size = ends - starts
         words = Known.read(data, starts, size)
