@@ -57,9 +57,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"), Workspace(spark))
+    # A cut can fall inside a character; its remaining bytes are shown as U+FFFD.
     return found.select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
-    )
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+    )
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,6 +330,7 @@ def test_suffix_query_equals_brute_force(spark):
     found = {r["doc_id"]: r for r in registered.op4_suffix_dedup(spark, str(DATA)).collect()}
     for r, kept in zip(docs, want, strict=True):
         assert found[r["doc_id"]]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+        assert found[r["doc_id"]]["text"] == kept.decode(errors="replace")
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
