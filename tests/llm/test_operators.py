@@ -212,22 +212,111 @@ def test_contamination_catches_other_numbers_only_if_consistent(spark, work):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     bench = spark.createDataFrame([(0, item), (1, None), (2, "")], "item_id long, text string")
     found = {r["doc_id"]: r["contaminated"] for r in templates.contamination(df, bench, work).collect()}
-    assert {k for k, v in found.items() if v} == {1, 2, 7} | ({3} if found[3] else set())
+    assert {k for k, v in found.items() if v} == {1, 2, 3, 7}  # 3: its second part as it is
     assert sorted(r["doc_id"] for r in templates.decontaminate(df, bench, work).collect())[0] > 2
     assert not any(r["contaminated"] for r in templates.contamination(df, bench.limit(0), work).collect())
 
 
-def test_contamination_takes_each_value_on_its_own(spark, work):
+def test_contamination_wants_one_value_for_each_value(spark, work):
     item = "a train leaves at 40 km speed and after 3 hours it has passed Berlin again at 40 km"
     twice = "if a shop sells 3 apples and 3 pears to every guest how many does it sell"
+    long = " ".join(f"plain{k}" for k in range(59))
+    w = long.split()
+    altered = " ".join("other" if k in (9, 19, 29, 39, 49) else x for k, x in enumerate(w))
+    far = words(200)
     texts = [
-        (1, item.replace("40", "55", 1)), (2, twice.replace("3", "5", 1).replace("3", "7")),
-        (3, twice.replace("3", "5", 1)), (4, twice.replace("shop sells", "farm grows").replace("guest how", "day so")),
+        (1, item.replace("40", "55", 1).replace("40", "71")), (2, item.replace("40", "55")),
+        (3, twice.replace("3", "5", 1).replace("3", "7")), (4, twice.replace("3", "5")),
+        (5, twice.replace("shop sells", "farm grows").replace("guest how", "day so")),
+        (6, f"{far} {' '.join(w[:32])} {far}"), (7, f"{far} {altered} {far}"),
+        (8, far.join([" ".join(w[k : k + 12]) + " " for k in (44, 30, 16, 2)])),
+        (9, " ".join([*w[:30], "and", "more", *w[30:]])), (10, f"{far} {' '.join(w[:25])} {far}"),
     ]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    bench = spark.createDataFrame([(0, item), (1, twice)], "item_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, twice), (2, long)], "item_id long, text string")
     found = {r["doc_id"]: r["item_ids"] for r in templates.contamination(df, bench, work).collect()}
-    assert found == {1: [0], 2: [1], 3: [1], 4: []}
+    want = {1: [], 2: [0], 3: [], 4: [1], 5: [], 6: [2], 7: [2], 8: [], 9: [2], 10: []}
+    assert found == want
+
+
+def contaminated_by_hand(text, item):
+    """The rule of the operator over lists of words, all windows against all."""
+
+    def parse(value):
+        w = value.split()
+        kinds = []
+        for k, x in enumerate(w):
+            unit = k > 0 and w[k - 1][0].isdigit() and x.lower() in templates.UNITS
+            kinds.append("N" if x[0].isdigit() else "U" if unit else "C" if k and x[0].isupper() else "")
+        low = [x.lower() for x in w]
+        return low, kinds, [k or x for k, x in zip(kinds, low, strict=True)]
+
+    (a, _, a_shown), (b, b_kinds, b_shown) = parse(text), parse(item)
+    size = min(8, len(b))
+    starts = range(len(b) - size + 1)
+    has = {i for i in starts if b_kinds[i : i + size].count("") >= 4}
+    hits = []
+    for i in starts:
+        for p in range(len(a) - size + 1):
+            if a[p : p + size] == b[i : i + size]:
+                hits.append((i, p, []))
+            if i in has and a_shown[p : p + size] == b_shown[i : i + size]:
+                hits.append((i, p, [(k, b[i + k], a[p + k]) for k in range(size) if b_kinds[i + k]]))
+    for off in (0, 8):
+        for band in {(p - i + off) // 16 for i, p, _ in hits}:
+            own = [x for x in hits if (x[1] - x[0] + off) // 16 == band]
+            pairs = {(p + k, x, y) for _, p, s in own for k, x, y in s}
+            votes, total = Counter((x, y) for _, x, y in pairs), Counter(x for _, x, _ in pairs)
+            good = [h for h in own if all(2 * votes[x, y] > total[x] for _, x, y in h[2])]
+            found = {i for i, _, _ in good}
+            cover = len({i + k for i in found for k in range(size)})
+            if 2 * len(found) >= len(starts) or (has and 2 * len(found & has) >= len(has)):
+                return True
+            if 2 * cover >= len(b) and cover >= 13:
+                return True
+    return False
+
+
+def test_contamination_equals_brute_force(spark, work):
+    draw = np.random.Generator(np.random.PCG64(17))
+    plain = ["alpha", "beta", "gamma", "delta", "kappa", "sigma", "omega", "tau"]
+    items, texts = [], []
+    for _ in range(12):
+        kind = draw.choice(4, int(draw.integers(9, 45)), p=[0.75, 0.13, 0.07, 0.05])
+        items.append(" ".join([plain[draw.integers(8)], "Berlin", str(draw.integers(3, 6)), "7 km"][k]
+                              if k else str(draw.choice(plain)) for k in kind))
+    for k in range(240):
+        w = items[k % 12].split()
+        for _ in range(int(draw.integers(0, 5))):
+            p = int(draw.integers(len(w)))
+            w[p] = str(draw.choice(["8", "9", "Paris", "mile", *plain]))
+        if k % 3 == 0:
+            w = [{"3": "8", "4": "9", "Berlin": "Rome"}.get(x, x) for x in w]
+        if k % 5 == 0:
+            cut = int(draw.integers(1, len(w)))
+            w = [*w[cut:], *draw.choice(plain, int(draw.integers(0, 30))), *w[:cut]]
+        texts.append(" ".join([*draw.choice(plain, 12), *w, *draw.choice(plain, 12)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {r["doc_id"]: r["item_ids"] for r in templates.contamination(df, bench, work).collect()}
+    want = {k: [i for i, x in enumerate(items) if contaminated_by_hand(t, x)] for k, t in enumerate(texts)}
+    assert found == want
+    assert 40 < sum(map(bool, want.values())) < 220
+
+
+def test_contamination_of_odd_rows(spark, work):
+    item = "which of these seven colours has the shortest wave of all"
+    rows = [(1, item, "a", "x", 1), (1, item, "b", "y", 2), (2, None, "c", None, 3), (None, None, "d", None, 4),
+            (None, item, "e", None, 5), (3, "", "f", "z", 6), (4, "no such words", "g", None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, row string, salt int")
+    bench = spark.createDataFrame([(0, item, "k"), (0, item, "k"), (None, item, "k"), (1, None, "k")],
+                                  "item_id long, text string, key string")
+    kept = templates.decontaminate(df, bench, work)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[2], rows[3], rows[5], rows[6]])
+    found = Counter((r["doc_id"], r["contaminated"]) for r in templates.contamination(df, bench, work).collect())
+    assert found == {(1, True): 2, (2, False): 1, (None, False): 1, (None, True): 1, (3, False): 1, (4, False): 1}
+    assert not templates.decontaminate(df.limit(0), bench, work).collect()
 
 
 def test_contamination_finds_exact_copies_of_any_item(spark, work):
