@@ -34,7 +34,8 @@ from histmerge.llm.batches import Texts, map_slices, with_columns
 
 #: Rows of the fitting sample and landmarks, for each language.
 SAMPLE, LANDMARKS, RIDGE = 250, 40, 1e-3
-#: Only texts of at most so many bytes are drawn for the sample.
+#: Of a text with more bytes the sample takes a part of at most so many, from a place
+#: that its hash tells.
 SAMPLE_BYTES = 50_000
 #: Bytes of a piece, and pieces scored at once.
 PIECE, PIECES_AT_ONCE = 1024, 256
@@ -158,20 +159,28 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 
 def labelled_sample(docs: DataFrame, size: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """At most ``size`` texts of each language, chosen by a hash of the text.
+    """At most ``size`` distinct texts of each language, chosen by a hash of the text;
+    of a text longer than ``most_bytes`` a part.
 
-    ``docs`` has ``text`` and ``lang``. Only hashes are ranked, first within
-    each task's share, so no language is ever gathered in one task.
+    ``docs`` has ``text`` and ``lang``. Distinct texts are counted before they are
+    thinned, so copies of one text leave no language without a sample. Only hashes
+    are ranked, first within each task's share, so no language is ever gathered in
+    one task.
     """
-    usable = docs.where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes)
-    ).select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = usable.groupBy("lang").count()
-    near = counts.select("lang", (F.lit(4.0 * size + 40) / F.col("count")).alias("part"))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", F.xxhash64("text").alias("h")
+    )
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    near = counts.select("lang", (F.lit(4.0 * size + 40) / F.col("n")).alias("part"))
     thinned = usable.join(F.broadcast(near), "lang").where(
         F.pmod("h", F.lit(1 << 30)) < F.col("part") * (1 << 30)
     )
-    pairs = thinned.groupBy("lang", "h").agg(F.any_value("text").alias("text"))
+    # A character has four bytes at most.
+    chars = most_bytes // 4
+    room = F.greatest(F.char_length("text") - chars, F.lit(0)) + 1
+    part = F.substr("text", (F.pmod("h", room) + 1).cast("int"), F.lit(chars))
+    bounded = F.when(F.octet_length("text") <= most_bytes, F.col("text")).otherwise(part)
+    pairs = thinned.groupBy("lang", "h").agg(F.any_value(bounded).alias("text"))
     best = pairs.groupBy("lang").agg(
         F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, size).alias("drawn")
     )
