@@ -4,13 +4,17 @@ A document's features are the presence of its words, word pairs and skip-grams
 (two words with one or two others between them), hashed to 2**20 coordinates.
 Training goes over a bounded, balanced sample of labelled documents with a rate
 for each coordinate; the L1 term keeps all but a few weights at zero, so the
-model that is broadcast is a short list of (coordinate, weight).
+model that is broadcast is a short list of (coordinate, weight). L1 also draws the
+scores to the commoner label, so the bias is moved: models of all folds but one
+score that fold of the training rows, and the score that separates the labels best
+there (by F1) becomes ``THRESHOLD``.
 
 Words are runs of ASCII letters, digits and bytes beyond ASCII, A-Z as a-z.
 
 Defined results: a null or empty text has no feature and gets the bias' score;
 labels that are null are left out; a document with several labels counts once
-for each; without any labelled document every score is 0.
+for each; a document id with several texts is learned by one of them; without any
+labelled document every score is 0, and with one label only the bias stays.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from histmerge.llm.batches import (
 BITS = 20
 #: Most rows of each label in the training sample; passes over it.
 SAMPLE = 2_500
+#: Most coordinates of a document in the sample, and folds of the calibration.
+SAMPLE_FEATURES, FOLDS = 8_192, 4
 #: Rows seen in training, repeats included, and most passes over a small sample.
 STEPS, PASSES = 20_000, 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
@@ -119,48 +125,84 @@ def training_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Weights | None:
     """Weights from a sample of ``labels`` joined to the texts of ``docs``.
 
-    The texts stay with the executors: one task gets the sample's coordinates
-    (2 * ``size`` documents at most) and returns the few weights.
+    The texts stay with the executors: a task gets the sample's coordinates
+    (2 * ``size`` documents of ``SAMPLE_FEATURES`` at most) and returns the few
+    weights, or the scores of a fold that it did not learn from.
     """
     chosen = F.broadcast(training_sample(labels, size))  # 2 * size rows at most
-    texts = with_columns(docs, {"doc_id": "long", "text": "string"}).join(chosen, "doc_id")
+    # Copies of a text are in one fold.
+    texts = (
+        with_columns(docs, {"doc_id": "long", "text": "string"})
+        .join(chosen, "doc_id")
+        .withColumn("fold", F.pmod(F.xxhash64("text", F.lit(12)), F.lit(FOLDS)).cast("int"))
+    )
 
     def extract(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
         rows, found = distinct_by_row(*features(texts))
         cuts = np.searchsorted(rows, np.arange(len(texts) + 1))
-        blobs = [found[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-        keep = ["doc_id", "toxic"]
+        # Coordinates are hashes: the first of them are a draw.
+        blobs = [
+            found[a : min(b, a + SAMPLE_FEATURES)].astype("<i4").tobytes()
+            for a, b in zip(cuts, cuts[1:], strict=False)
+        ]
+        keep = ["doc_id", "toxic", "fold"]
         return pa.record_batch(
             [*(part.column(part.schema.get_field_index(c)) for c in keep), binaries(blobs)],
             [*keep, "at"],
         )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [r for b in batches for r in b.to_pylist()]
-        if not seen:
-            return
-        seen.sort(key=lambda r: (r["doc_id"], r["toxic"], r["at"]))
-        rows = [np.frombuffer(r["at"], "<i4").astype(np.int64) for r in seen]
-        found = train(rows, np.array([r["toxic"] for r in seen], float))
-        yield pa.record_batch(
-            [
-                pa.array([*found.at.tolist(), -1], pa.int64()),
-                pa.array([*found.weight.astype(float).tolist(), found.bias]),
-            ],
-            ["at", "weight"],
-        )
-
-    rows = map_slices(texts, extract, "doc_id long, toxic int, at binary")
-    learned = map_batches(rows.repartition(1), learn, "at long, weight double").collect()
+        turns: dict[int, list[dict]] = {}
+        for r in (r for b in batches for r in b.to_pylist()):
+            turns.setdefault(r["turn"], []).append(r)
+        for turn, seen in sorted(turns.items()):
+            seen.sort(key=lambda r: (r["doc_id"], r["toxic"]))
+            rows = [np.frombuffer(r["one"]["at"], "<i4") for r in seen]
+            known = np.array([r["toxic"] for r in seen], float)
+            held = np.array([r["one"]["fold"] == turn for r in seen])
+            if held.all():
+                continue
+            found = train([x for x, h in zip(rows, held, strict=True) if not h], known[~held])
+            if turn == FOLDS:
+                at, value = [*found.at.tolist(), -1], [*found.weight.astype(float).tolist(), found.bias]
+            else:
+                dense = found.dense()
+                at = (-2 - known[held]).astype(int).tolist()
+                value = [float(dense[rows[k]].sum()) + found.bias for k in np.flatnonzero(held)]
+            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(value, pa.float64())], ["at", "value"])
+
+    rows = map_slices(texts, extract, "doc_id long, toxic int, fold int, at binary")
+    one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("at", "fold")).alias("one"))
+    dealt = one.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+    learned = map_batches(dealt.repartition(FOLDS + 1, "turn"), learn, "at long, value double").collect()
     if not learned:
         return None
-    bias = next(r["weight"] for r in learned if r["at"] < 0)
-    rest = sorted((r["at"], r["weight"]) for r in learned if r["at"] >= 0)
+    bias = next(r["value"] for r in learned if r["at"] == -1)
+    rest = sorted((r["at"], r["value"]) for r in learned if r["at"] >= 0)
+    held = sorted((r["value"], -2 - r["at"]) for r in learned if r["at"] <= -2)
+    cut = best_cut(np.array([v for v, _ in held]), np.array([y for _, y in held], int))
+    if cut is not None:
+        bias += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
     return Weights(
-        np.array([a for a, _ in rest], np.int64), np.array([w for _, w in rest], np.float32), bias
+        np.array([a for a, _ in rest], np.int64), np.array([w for _, w in rest], np.float32), float(bias)
     )
 
 
+def best_cut(values: np.ndarray, labels: np.ndarray) -> float | None:
+    """The middle between the two neighbouring values that part label 1 (above) from
+    label 0 with the best F1, the higher of equals; None without both labels."""
+    if not 0 < labels.sum() < len(labels):
+        return None
+    order = np.argsort(-values, kind="stable")
+    values, right = values[order], np.cumsum(labels[order])
+    f1 = 2 * right / (np.arange(1, len(values) + 1) + right[-1])
+    apart = np.flatnonzero(values[:-1] > values[1:])
+    if not len(apart):
+        return None
+    k = apart[np.argmax(f1[apart])]
+    return float(values[k] + values[k + 1]) / 2
+
+
 def score(docs: DataFrame, weights: Weights | None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
