@@ -180,6 +180,60 @@ def test_quality_keeps_good_documents_held_out(spark, labelled):
     assert len(kept & set(range(5600, 5700))) <= (5 if labelled >= 50 else 100)
 
 
+def test_quality_rejects_junk_with_few_trusted(spark):
+    draw = np.random.Generator(np.random.PCG64(6))
+    good = [" ".join(f"word{k}" for k in row) for row in draw.integers(0, 60, (15, 60))]
+    junk = [" ".join(f"#{k}x" for k in row) for row in draw.integers(0, 60, (300, 60))]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(good + junk)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(k, 1) for k in range(15)], "doc_id long, quality int")
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns
+    assert {r["doc_id"] for r in kept.collect()} == set(range(15))
+    alone = quality.keep_good(df, labels.where("doc_id = 0"))
+    assert alone.count() == 315  # nothing can be held out: the base rules decide
+
+
+def test_quality_scores_each_trusted_text_without_itself(spark):
+    from histmerge.llm.batches import SPACES
+
+    texts = [words(int(n)) for n in random.integers(12, 60, 9)]
+    copies = np.array([1, 1, 3, 1, 2, 1])
+    trusted = [t for t, c in zip(texts, copies, strict=False) for _ in range(c)]
+    drawn = langid.texts_of(texts[:6])
+
+    def buckets(some):
+        read = langid.texts_of(some)
+        starts, ends, rows = read.spans(~SPACES)
+        return np.bincount(quality.ngram_buckets(read.hashes(starts, ends), rows, 10)[1], minlength=1 << 10)
+
+    raw, all_trusted = buckets(texts + trusted), buckets(trusted)
+    starts, ends, rows = drawn.spans(~SPACES)
+    found = quality.held_out_scores(drawn.hashes(starts, ends), rows, copies, raw, all_trusted, 10)
+    for k, text in enumerate(texts[:6]):
+        rest = buckets([t for t in trusted if t != text])
+        table = quality.log_ratios(raw, rest, quality.PRIOR * rest.sum() / all_trusted.sum())
+        own = buckets([text])
+        assert found[k] == pytest.approx((own * table).sum() / own.sum())
+    alone = quality.held_out_scores(drawn.hashes(starts, ends), rows, copies, raw, buckets(texts[:1]), 10)
+    assert np.isnan(alone[0])
+
+
+def test_languages_beside_many_copies_and_in_long_texts(spark):
+    rows = [(f"the cat and the dog went to town {k}", "en") for k in range(200)]
+    rows += [(f"der hund und die katze gingen fort {k}", "de") for k in range(200)]
+    rows += [("le chat et le chien sont partis en ville " * 1500 + str(k), "fr") for k in range(20)]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    copies = spark.range(300_000).selectExpr("'the same old text of the cat' text", "'en' lang")
+    drawn = langid.labelled_sample(train.union(copies), size=50).collect()
+    assert Counter(r["lang"] for r in drawn) == {"en": 50, "de": 50, "fr": 20}
+    assert max(len(r["text"].encode()) for r in drawn) <= langid.SAMPLE_BYTES
+    df = spark.createDataFrame([(1, "the dog", "zz"), (1, "the dog", "zz"), (2, "le chien en ville", "zz")],
+                               "doc_id long, text string, lang_pred string")
+    found = [(r["doc_id"], r["lang_pred"]) for r in langid.identify(df, train.union(copies), 50).collect()]
+    assert sorted(found) == [(1, "en"), (1, "en"), (2, "fr")]
+    assert not langid.identify(df.limit(0), train).collect()
+
+
 def test_languages_and_letters(spark, docs):
     train = spark.createDataFrame(
         [(f"the cat and the dog {k}", "en") for k in range(30)] + [(f"der hund und die katze {k}", "de") for k in range(30)],
@@ -202,6 +256,40 @@ def test_toxicity_learns_and_scores(spark):
     assert toxicity.fit(df, labels.limit(0)) is None
 
 
+def test_toxicity_threshold_is_where_labels_part_best(spark):
+    def by_hand(values, labels):
+        best, where = 0, None
+        for a, b in zip(sorted(values)[1:], sorted(values), strict=False):
+            said = values >= a
+            f1 = 2 * (said & (labels == 1)).sum() / (said.sum() + labels.sum())
+            if a > b and f1 >= best:
+                best, where = f1, (a + b) / 2
+        return where
+
+    draw = np.random.Generator(np.random.PCG64(8))
+    for _ in range(50):
+        labels = draw.integers(0, 2, 30)
+        values = np.round(draw.normal(size=30) + labels, 1)
+        assert toxicity.best_cut(values, labels) == by_hand(values, labels)
+    assert toxicity.best_cut(values, labels * 0) is None
+    assert toxicity.best_cut(values * 0, labels) is None
+    # A sign that half of the toxic texts have, a third of them faint.
+    rows = []
+    for k in range(1800):
+        toxic = int(k % 10 == 0)
+        faint = " vermin" if toxic and k % 30 == 0 else ""
+        rows.append((k, words(30) + (" scum scoundrel" if toxic and not faint else "") + faint, toxic))
+    df = spark.createDataFrame([(i, t, 1) for i, t, _ in rows], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    found = toxicity.score(df, toxicity.fit(df.union(df), labels.where("doc_id < 900"))).collect()
+    said = {r["doc_id"] for r in found if r["predicted"] and r["doc_id"] >= 900}
+    want = {i for i, _, y in rows if y and i >= 900}
+    assert len(said & want) >= 0.8 * len(want) and len(said - want) <= 0.1 * len(said)
+    assert not toxicity.score(df.limit(0), None).collect()
+    one = toxicity.fit(df, labels.where("toxic = 0"))
+    assert not any(r["predicted"] for r in toxicity.score(df, one).collect())
+
+
 def test_contamination_catches_other_numbers_only_if_consistent(spark, work):
     item = "a train leaves at 40 km speed and after 3 hours it has passed Berlin again at 40 km"
     texts = [
