@@ -21,6 +21,7 @@ open or closed twice ends with its parent; repeated rows give equal results.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -115,6 +116,9 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("", -1, False)]
         self.stack = [0]
+        # Where in the stack the open elements of each name, and the fences, are.
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
+        self.fences: list[int] = []
         self.lines: list[Line] = []
         self.held: list[tuple[str, int]] = []
         self.tags = 0
@@ -129,7 +133,7 @@ class Lines(HTMLParser):
         if tag in LEFT_OUT:
             return True
         if tag == "header":
-            return not any(self.nodes[n].tag in ("article", "main") for n in self.stack)
+            return not (self.open["article"] or self.open["main"])
         if tag in ("html", "body", "article", "main") or tag in HEADINGS:
             return False
         return "hidden" in values or (values.get("aria-hidden") or "").lower() == "true"
@@ -150,17 +154,25 @@ class Lines(HTMLParser):
         link = self.nodes[top].link or tag == "a" and "href" in values
         plain = out or tag in ("html", "body", "main", "header") or tag in HEADINGS
         self.nodes.append(Node(tag, top, out, link=link, mark="" if plain else mark_of(values)))
+        self.open[tag].append(len(self.stack))
+        if tag in FENCES:
+            self.fences.append(len(self.stack))
         self.stack.append(len(self.nodes) - 1)
 
+    def cut(self, k: int) -> None:
+        """End the open elements from the ``k``-th on."""
+        for n in self.stack[k:]:
+            tag = self.nodes[n].tag
+            self.open[tag].pop()
+            if tag in FENCES:
+                self.fences.pop()
+        del self.stack[k:]
+
     def close_open(self, tags: set[str]) -> None:
         """End the nearest open element among ``tags``, unless a fence is nearer."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            tag = self.nodes[self.stack[k]].tag
-            if tag in tags:
-                del self.stack[k:]
-                return
-            if tag in FENCES:
-                return
+        k = max((self.open[t][-1] for t in tags if self.open[t]), default=0)
+        if k and (not self.fences or k >= self.fences[-1]):
+            self.cut(k)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -171,12 +183,12 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.nodes[self.stack[k]].tag == tag:
-                del self.stack[k:]
-                return
-            if tag not in BLOCKS and self.nodes[self.stack[k]].tag in FENCES:
-                return  # an inline end tag does not close blocks
+        if not self.open[tag]:
+            return
+        k = self.open[tag][-1]
+        # An inline end tag does not close blocks.
+        if tag in BLOCKS or not self.fences or k >= self.fences[-1]:
+            self.cut(k)
 
     def handle_data(self, data: str) -> None:
         if not self.nodes[self.stack[-1]].out:
