@@ -488,6 +488,31 @@ def test_html_layout_names_are_no_marks():
     assert html.main_text(f"<body><article>{page}</article></body>") == f"A title\n\n{want}"
 
 
+def test_html_unclosed_and_stray_tags_cost_little():
+    from time import process_time
+
+    def cost(n):
+        page = "<body><i><div>" + "<font>" * n + "</i>" * n + f"<p>{words(80)}</p></div></body>"
+        start = process_time()
+        assert html.main_text(page)
+        return process_time() - start
+
+    cost(500)
+    assert cost(16_000) < 16 * max(cost(2_000), 0.02)  # squared, it would be 64 times as much
+
+
+def test_html_rows(spark):
+    page = f"<body><div id=content><p>{'A sentence of the page. ' * 9}</p></div></body>"
+    rows = [(1, "u", page, "x"), (1, "u", page, "y"), (2, None, None, "z"), (3, "v", "", None), (None, "w", page, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    text = ("A sentence of the page. " * 9).strip()
+    found = [tuple(r[c] for c in ("page_id", "url", "text", "n_chars")) for r in html.extract_text(df).collect()]
+    whole = len(text)
+    want = [(1, "u", text, whole), (1, "u", text, whole), (2, None, "", 0), (3, "v", "", 0), (None, "w", text, whole)]
+    assert Counter(found) == Counter(want)
+    assert not html.extract_text(df.limit(0)).collect()
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
 @pytest.mark.parametrize("name", ["op1_mix_sources", "op8_url_filters", "op9_ngram_jaccard"])
 def test_query_equals_its_sql(spark, name):
