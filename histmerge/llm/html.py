@@ -1,18 +1,21 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams a page's events; block elements cut them
-into lines. A line's ratio is its characters over its tags; the ratios are
-smoothed by a Gaussian over neighbouring lines and parted into two clusters.
-The lines of the high cluster show where the content is. From the element that
-holds most of their text the region grows until it holds four fifths of all
-text and no branch beside it holds prose (text outside of links); an ``article``
-or ``main`` with half of the text is where it begins. All lines of the region
-are taken, short ones between long ones included. Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments are recognised by element, role
-and class while the events pass, and take no part. A class, id or role marks an
-element by a whole name or its last word ("page-footer", not "has-footer"), and
-not if the element holds an article or ``main``, or, where none is outside of it,
-most of the page's text; that is known at the page's end.
+into lines. A line's ratio is its characters over its tags; the logarithms of the
+ratios are smoothed by a Gaussian over neighbouring lines (beyond the page's ends
+there is none) and parted into two clusters, or one if they lie less than a
+factor of three apart. The lines of the high cluster choose the content: the
+deepest element with four fifths of their text, lines of ``article`` and ``main``
+counted twice, then up to every branch that holds prose (text outside of links)
+of the high cluster, an ``article`` or ``main`` with any text. All lines of that
+region are taken, short ones between long ones included.
+
+What a page itself declares not to be content takes no part: scripts, styles and
+controls never; menus, headers, footers, sidebars, forms and dialogs, and elements
+whose class, id or role is or ends in such a name ("page-footer", not
+"has-footer"), unless the page's only content lies within, as in a form around
+the whole page or after a menu that is never closed. That is known at the page's
+end.
 
 Defined results: a null, empty or textless page has an empty text; markup left
 open or closed twice ends with its parent; repeated rows give equal results.
@@ -32,6 +35,8 @@ from pyspark.sql import DataFrame
 from histmerge.llm.batches import Texts, map_slices, with_columns
 
 SIGMA = 1.0
+#: Least distance of two clusters of logarithms of ratios.
+APART = float(np.log(3))
 #: Characters outside of links from which a branch beside the region is content.
 LEAST_PROSE = 50
 
@@ -45,9 +50,13 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 LEFT_OUT = frozenset(
-    "aside button canvas datalist dialog footer form head iframe input menu nav noscript object"
-    " option script select style svg template textarea title".split()
+    "button canvas datalist head iframe input noscript object option script select style svg"
+    " template textarea title".split()
 )
+#: Left out unless the page's only content lies within; of these, forms and menus need no article.
+BESIDE = frozenset("aside dialog footer form header menu nav".split())
+AROUND = frozenset("form nav".split())
+TELLING = ("article", "main")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id or role that mark what is not content.
 NOISE = frozenset(
@@ -58,6 +67,8 @@ NOISE = frozenset(
     " promotion related reply replies search share sharing sidebar signup skip social sponsor"
     " sponsored subscribe subscription taboola toolbar tooltip topbar widget widgets".split()
 )
+#: Of these, words that in an article may be part of a name for content ("binary-search").
+LOOSE = frozenset("alert banner disclaimer header notice notices search share skip social".split())
 #: Of these, the marks of readers' comments.
 COMMENTS = frozenset("comment comments disqus reply replies".split())
 #: Words that may follow a mark ("ad-slot"), and that turn it ("has-sidebar").
@@ -76,14 +87,17 @@ FENCES = frozenset("ul ol dl table article section div main body aside nav foote
 WORDS = re.compile(r"[A-Za-z]+")
 
 
-def mark_of(attrs: dict[str, str | None]) -> str:
-    """The noise word that an element's class, id or role ends in, or nothing."""
+def mark_of(attrs: dict[str, str | None], told: bool = False) -> str:
+    """The noise word that an element's class, id or role ends in, or nothing;
+    ``told`` says that the element is in an article."""
     found = ""
     for token in " ".join(attrs.get(k) or "" for k in ("class", "id", "role")).lower().split():
         words = WORDS.findall(token)
         while len(words) > 1 and words[-1] in PARTS and words[-1] not in NOISE:
             words.pop()
         if words and words[-1] in NOISE and not TURNS.intersection(words[:-1]):
+            if told and words[-1] in LOOSE and len(words) > 1 and not NOISE.intersection(words[:-1]):
+                continue
             if words[-1] in COMMENTS:
                 return words[-1]
             found = words[-1]
@@ -132,8 +146,6 @@ class Lines(HTMLParser):
     def noisy(self, tag: str, values: dict[str, str | None]) -> bool:
         if tag in LEFT_OUT:
             return True
-        if tag == "header":
-            return not (self.open["article"] or self.open["main"])
         if tag in ("html", "body", "article", "main") or tag in HEADINGS:
             return False
         return "hidden" in values or (values.get("aria-hidden") or "").lower() == "true"
@@ -152,8 +164,13 @@ class Lines(HTMLParser):
         values = dict(attrs)
         out = self.nodes[top].out or self.noisy(tag, values)
         link = self.nodes[top].link or tag == "a" and "href" in values
-        plain = out or tag in ("html", "body", "main", "header") or tag in HEADINGS
-        self.nodes.append(Node(tag, top, out, link=link, mark="" if plain else mark_of(values)))
+        told = bool(self.open["article"] or self.open["main"])
+        mark = ""
+        if not (out or tag in ("html", "body", "main") or tag in HEADINGS or tag == "header" and told):
+            mark = mark_of(values, told)
+            if tag in BESIDE and mark not in COMMENTS:
+                mark = f"<{tag}>"
+        self.nodes.append(Node(tag, top, out, link=link, mark=mark))
         self.open[tag].append(len(self.stack))
         if tag in FENCES:
             self.fences.append(len(self.stack))
@@ -215,27 +232,32 @@ class Lines(HTMLParser):
         if not any(n.mark for n in nodes):
             return
         # Articles that are no comments tell content; another mark on them means nothing.
-        tells = [n.tag == "main" or n.tag == "article" and n.mark not in COMMENTS for n in nodes]
+        tells = [n.tag in TELLING and n.mark not in COMMENTS for n in nodes]
         told = [False] * len(nodes)
         for k in range(1, len(nodes)):
             told[k] = tells[k] or told[nodes[k].parent]
-        text, inside = [0] * len(nodes), [0] * len(nodes)
+        text, inside, prose = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
         for line in self.lines:
             for piece, k in line.pieces:
                 text[k] += (n := len(piece.strip()))
                 inside[k] += n * told[k]
+                prose[k] += n * (n >= LEAST_PROSE and not nodes[k].link)
         holds = [t and i > 0 for t, i in zip(tells, inside, strict=True)]
         for k in range(len(nodes) - 1, 0, -1):
             up = nodes[k].parent
             text[up] += text[k]
             inside[up] += inside[k]
+            prose[up] += prose[k]
             holds[k] = holds[k] or tells[k] and inside[k] > 0
             holds[up] = holds[up] or holds[k]
         for k in range(1, len(nodes)):
             node = nodes[k]
             alone = inside[0] == inside[k]  # no content is told outside
-            most = alone and 2 * text[k] > text[0]
-            stays = most or holds[k] and (alone or node.mark not in COMMENTS)
+            if node.mark.startswith("<"):
+                stays = alone and (holds[k] or node.tag in AROUND and 2 * prose[k] > prose[0])
+            else:
+                most = alone and 2 * text[k] > text[0]
+                stays = most or holds[k] and (alone or node.mark not in COMMENTS)
             marked = bool(node.mark) and (node.tag != "article" or node.mark in COMMENTS)
             node.out = node.out or nodes[node.parent].out or marked and not stays
 
@@ -243,11 +265,12 @@ class Lines(HTMLParser):
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = max(1, int(np.ceil(2 * sigma)))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    return np.convolve(np.pad(values, reach, mode="edge"), kernel / kernel.sum(), "valid")
+    return np.convolve(np.pad(values, reach), kernel / kernel.sum(), "valid")
 
 
 def high_cluster(values: np.ndarray) -> np.ndarray:
-    """Which values lie in the higher of two clusters (two-means on a line)."""
+    """Which values lie in the higher of two clusters (two-means on a line); all,
+    if the clusters are not ``APART``."""
     low, high = values.min(), values.max()
     if low == high:
         return np.ones(len(values), bool)
@@ -257,6 +280,8 @@ def high_cluster(values: np.ndarray) -> np.ndarray:
         if (a, b) == (low, high):
             break
         low, high = a, b
+    if high - low < APART:
+        return np.ones(len(values), bool)
     return values > (low + high) / 2
 
 
@@ -270,38 +295,26 @@ def weights(parser: Lines, lines: list[Line], of: list[int]) -> list[int]:
     return out
 
 
-def common(parser: Lines, a: int, b: int) -> int:
-    """The smallest element that holds both; an element's number is above its parent's."""
-    while a != b:
-        a, b = min(a, b), parser.nodes[max(a, b)].parent
-    return a
-
-
 def content_node(parser: Lines, lines: list[Line], chosen: np.ndarray) -> int:
-    """The element that holds the content: ``main`` and ``article`` elements with
-    half of the text together, else the deepest element with at least four fifths
-    of the chosen and of all text; then up to every branch that holds prose."""
+    """The element that holds the content: the deepest one with at least four fifths
+    of the chosen text, then up to every branch that holds chosen prose or an article."""
     nodes = parser.nodes
+    told = [False] * len(nodes)
+    for n in range(1, len(nodes)):
+        told[n] = told[nodes[n].parent] or nodes[n].tag in TELLING
     sizes = [len(line.text) for line in lines]
-    text = weights(parser, lines, sizes)
-    picked = weights(parser, lines, [n * int(c) for n, c in zip(sizes, chosen, strict=True)])
-    prose_of = [n if 2 * line.linked < n else 0 for n, line in zip(sizes, lines, strict=True)]
+    picked = weights(
+        parser, lines,
+        [n * int(c) * (1 + told[x.node]) for x, n, c in zip(lines, sizes, chosen, strict=True)],
+    )
+    region = max(n for n, w in enumerate(picked) if 5 * w >= 4 * picked[0])
+    # Chosen prose, and any text of an article, beside the way up: in the lines of an
+    # element itself or in one of its children.
+    prose_of = [
+        max(n, LEAST_PROSE) if told[x.node] else n if c and 2 * x.linked < n else 0
+        for x, n, c in zip(lines, sizes, chosen, strict=True)
+    ]
     prose = weights(parser, lines, prose_of)
-    told = [n for n in range(1, len(nodes)) if nodes[n].tag in ("article", "main") and text[n]]
-    region = 0
-    if told:
-        region = told[0]
-        for n in told[1:]:
-            region = common(parser, region, n)
-    inside = [False] * len(nodes)
-    for n in range(1, len(nodes)):
-        inside[n] = inside[nodes[n].parent] or nodes[n].tag in ("article", "main")
-    declared = sum(n for n, line in zip(sizes, lines, strict=True) if inside[line.node])
-    if not told or 2 * declared < text[0]:
-        region = max(n for n, w in enumerate(picked) if 5 * w >= 4 * picked[0])
-        while 5 * text[region] < 4 * text[0]:
-            region = nodes[region].parent
-    # Prose in the lines of an element itself or in one of its children, beside the way up.
     own = [0] * len(nodes)
     for line, n in zip(lines, prose_of, strict=True):
         own[line.node] += n
@@ -327,7 +340,7 @@ def main_text(page: str) -> str:
     if not lines:
         return ""
     ratio = np.array([len(x.text) / (x.tags + 1) for x in lines])
-    region = content_node(parser, lines, high_cluster(smoothed(ratio)))
+    region = content_node(parser, lines, high_cluster(smoothed(np.log1p(ratio))))
     # A line's element may itself be the region's leaf: go up to a block that holds others.
     while parser.nodes[region].parent > 0 and parser.nodes[region].tag not in FENCES:
         region = parser.nodes[region].parent
