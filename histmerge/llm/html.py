@@ -37,8 +37,10 @@ from histmerge.llm.batches import Texts, map_slices, with_columns
 SIGMA = 1.0
 #: Least distance of two clusters of logarithms of ratios.
 APART = float(np.log(3))
-#: Characters outside of links from which a branch beside the region is content.
+#: Characters outside of links that make a piece of text prose.
 LEAST_PROSE = 50
+#: Characters of chosen prose from which a branch beside the region is content.
+LEAST_BRANCH = 120
 
 #: Elements of HTML by their part in a page.
 BLOCKS = frozenset(
@@ -311,7 +313,7 @@ def content_node(parser: Lines, lines: list[Line], chosen: np.ndarray) -> int:
     # Chosen prose, and any text of an article, beside the way up: in the lines of an
     # element itself or in one of its children.
     prose_of = [
-        max(n, LEAST_PROSE) if told[x.node] else n if c and 2 * x.linked < n else 0
+        max(n, LEAST_BRANCH) if told[x.node] else n if c and 2 * x.linked < n else 0
         for x, n, c in zip(lines, sizes, chosen, strict=True)
     ]
     prose = weights(parser, lines, prose_of)
@@ -320,11 +322,11 @@ def content_node(parser: Lines, lines: list[Line], chosen: np.ndarray) -> int:
         own[line.node] += n
     children: dict[int, list[int]] = {}
     for n in range(1, len(nodes)):
-        if prose[n] >= LEAST_PROSE:
+        if prose[n] >= LEAST_BRANCH:
             children.setdefault(nodes[n].parent, []).append(n)
     below, up = region, nodes[region].parent
     while up >= 0:
-        if own[up] >= LEAST_PROSE or any(n != below for n in children.get(up, [])):
+        if own[up] >= LEAST_BRANCH or any(n != below for n in children.get(up, [])):
             region = up
         below, up = up, nodes[up].parent
     return region

@@ -488,6 +488,41 @@ def test_html_layout_names_are_no_marks():
     assert html.main_text(f"<body><article>{page}</article></body>") == f"A title\n\n{want}"
 
 
+def test_html_clusters_alone_find_the_content():
+    """No article, no name that says anything: the lines' ratios choose."""
+    long, middle, short = words(300), words(90), "A short line."
+    menu = "<div><ul>" + "".join(f"<li><a href=x>part {k}</a></li>" for k in range(8)) + "</ul></div>"
+    advert, foot = "<div class=x1>Buy this now, it is cheap.</div>", "<div>(c) example.com, all rights reserved here</div>"
+    body = f"<h2>Of cats</h2><p>{middle}</p><p>{short}</p><p>{long}</p><ul><li>one<li>two</ul><p>{middle}</p>"
+    want = "\n\n".join(["Of cats", middle, short, long, "one", "two", middle])
+    assert html.main_text(f"<body>{menu}{advert}<div class=x2>{body}</div>{foot}</body>") == want
+    assert html.main_text(f"<body>{advert}{menu}<div>{body}</div>{menu}{foot}</body>") == want
+    # Two parts, with nothing that names them.
+    page = f"<body>{menu}{advert}<div><div><p>{middle}</p></div><div>{body}</div></div>{foot}{menu}</body>"
+    assert html.main_text(page) == f"{middle}\n\n{want}"
+    # Clusters less than a factor of three apart are one.
+    assert html.high_cluster(np.array([1.0, 1.2, 5.0, 5.5])).tolist() == [False, False, True, True]
+    assert html.high_cluster(np.array([4.6, 5.0, 5.5])).all()
+
+
+def test_html_forms_and_open_menus_around_the_content():
+    text = words(200)
+    menu = "<ul>" + "".join(f"<li><a href=x>part {k}</a></li>" for k in range(8)) + "</ul>"
+    for tag in ("article", "div"):
+        inner = f"<{tag}><p>{text}</p><p>End.</p></{tag}>"
+        for page in (
+            f"<form action=x><nav>{menu}</nav><input name=q><button>Go</button>{inner}</form>",
+            f"<nav>{menu}{inner}",
+            f"<nav>{menu}</nav><form><label>Your name, if you please</label><input></form>{inner}",
+            f"<aside><p>{text[:200]}</p></aside>{inner}<footer><p>{text[:200]}</p></footer>",
+        ):
+            assert html.main_text(f"<body>{page}</body>") == f"{text}\n\nEnd."
+    # In an article a name may end in a word that elsewhere marks what is left out.
+    page = f"<article><p>{text}</p><p class=editor-notice>Edited.</p><div class=binary-search>It halves.</div>"
+    assert html.main_text(f"{page}<div class=cookie-notice>Cookies!</div></article>") == f"{text}\n\nEdited.\n\nIt halves."
+    assert html.main_text(f"<form><p>Name</p><p>{words(3)}</p></form>") == ""
+
+
 def test_html_unclosed_and_stray_tags_cost_little():
     from time import process_time
 
