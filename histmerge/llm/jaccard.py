@@ -53,6 +53,8 @@ from histmerge.llm.graph import components
 from histmerge.llm.marks import bitmap, marked
 from histmerge.workspace import Workspace
 
+#: A character of a word.
+FILLED = r"[^\x20\x09-\x0D]"
 #: Words of a shingle, and least similarity in percent.
 WORDS, PERCENT = 5, 80
 #: The tables of the global order: 2**SKETCH_BITS bytes and 2**REPEAT_BITS bits (32 MB).
@@ -635,20 +637,30 @@ def jaccard_components(docs: DataFrame, work: Workspace, **options) -> DataFrame
 
 def keep_one(docs: DataFrame, work: Workspace, **options) -> DataFrame:
     """The rows of ``docs`` but all documents of each group save the one with the
-    smallest id (then the smallest text digest); documents with an empty set stay."""
+    smallest id (then the smallest text digest); documents with an empty set stay.
+
+    Of several rows of that document (same id and text) one stays, the one whose
+    row has the smallest digest; equal rows are one. Columns may have any names.
+    """
     found = work.keep(similar_groups(docs, work, **options), "documents")
-    best = found.where("root is not null").groupBy("root").agg(
+    chosen = found.where("n > 0").groupBy("root").agg(
         F.min(F.struct("doc_id", "text_key")).alias("best")
+    ).select(F.col("best.doc_id").alias("best_doc"), F.col("best.text_key").alias("best_key"))
+    # The rows travel as one column, so that no name of theirs clashes.
+    text = F.col("text").cast("string")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").cast("long").alias("doc"), F.md5(text.cast("binary")).alias("key"),
+        F.coalesce(text.rlike(FILLED), F.lit(False)).alias("filled"),
     )
-    names = [F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text")]
-    chosen = best.select("best.*").select(*names)
-    wordless = found.where("root is null").select(*names).distinct()
-    rows = docs.withColumn("__key", F.md5(F.col("text").cast("binary")))
-    same = F.col("__doc").eqNullSafe(F.col("doc_id").cast("long")) & F.col("__text").eqNullSafe(F.col("__key"))
-    out = rows.join(chosen.unionAll(wordless), same, "left_semi")
-    # A group's best document may be there in several equal rows; one stays.
-    repeated = found.where("n > 0").groupBy("doc_id", "text_key").count().where("count > 1").limit(1)
-    if repeated.count():
-        filled = rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__key"])
-        out = filled.unionByName(rows.join(wordless, same, "left_semi"))
-    return out.select(*docs.columns)
+    same = F.col("doc").eqNullSafe(F.col("best_doc")) & (F.col("key") == F.col("best_key"))
+    out = rows.where("filled").join(chosen, same, "left_semi")
+    repeated = found.where("n > 0").groupBy("doc_id", "text_key").count().where("count > 1")
+    if not repeated.isEmpty():
+        digest = F.md5(F.to_json("row").cast("binary"))
+        out = out.groupBy("doc", "key").agg(F.min_by("row", digest).alias("row"))
+    out = out.select("row.*")
+    # Null and empty texts, however many, need no join.
+    if not found.where("n = 0").isEmpty():
+        out = out.unionAll(rows.where(~F.col("filled")).select("row.*"))
+    return out

@@ -168,13 +168,15 @@ def mix_sources(docs: DataFrame, work: Workspace, **options) -> DataFrame:
 def apply_mix(docs: DataFrame, work: Workspace, **options) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them, in the same columns."""
     plan = mix_plan(work.keep(sizes(docs), "sized"), work, **options)
-    rows = docs.withColumns(
-        {"__s": source_key(F.col("source")), "__h": document_hash(F.col("doc_id"))}
-    )
-    times = F.size(F.filter("__limits", lambda t: F.col("__h") < t))
+    # The rows travel as one column, so that no name of theirs clashes.
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        source_key(F.col("source")).alias("s"), document_hash(F.col("doc_id")).alias("h"),
+    )
+    times = F.size(F.filter("limits", lambda t: F.col("h") < t))
     return (
-        rows.join(plan.select(F.col("s").alias("__s"), F.col("limits").alias("__limits")), "__s")
+        rows.join(plan.select("s", "limits"), "s")
         .where(times > 0)
-        .withColumn("__taking", F.explode(F.sequence(F.lit(1), times)))
-        .select(*docs.columns)
+        .select("row", F.explode(F.sequence(F.lit(1), times)))
+        .select("row.*")
     )

@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from histmerge.llm import html, jaccard, langid, mix, oracles, quality, repeats, templates, tokens, toxicity, urls
 from histmerge.llm import queries as registered
@@ -114,6 +115,31 @@ def test_one_document_stays_but_every_wordless_row(spark, work):
     assert Counter(map(tuple, found)) == Counter([texts[0], *texts[3:]])
 
 
+def test_stages_of_rows_with_clashing_names(spark, work):
+    """Names that the operators use within, and rows of one document that differ."""
+    names = ["__doc", "__text", "__key", "__s", "__h", "doc", "key", "row", "s", "h", "limits", "best_doc", "filled", "a.b"]
+    texts = [(1, BASE), (1, BASE), (2, BASE), (3, ""), (3, None), (None, "two words"), (None, "two words")]
+    rows = [(i, t, "web", *[f"{n} {k % 2}" for n in names]) for k, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    df = spark.createDataFrame(rows, schema)
+    kept = jaccard.keep_one(df, work, words=3, percent=90)
+    assert kept.columns == df.columns
+    found = list(map(tuple, kept.collect()))
+    assert set(found) <= set(rows) and Counter(r[:2] for r in found) == Counter(
+        [(1, BASE), (3, ""), (3, None), (None, "two words")]
+    )
+    # Which of the rows stays does not depend on their order.
+    again = jaccard.keep_one(df.orderBy(F.col("row").desc()), work, words=3, percent=90)
+    assert set(map(tuple, again.collect())) == set(found)
+    mixed = mix.apply_mix(df, work)
+    assert mixed.columns == df.columns
+    times = {r["doc_id"]: r["takings"] for r in mix.mix_sources(df, work).collect()}
+    want = Counter({r: n * times[r[0]] for r, n in Counter(rows).items() if times[r[0]]})
+    assert Counter(map(tuple, mixed.collect())) == want
+    assert not mix.apply_mix(df.limit(0), work).collect()
+    assert not jaccard.keep_one(df.limit(0), work, words=3, percent=90).collect()
+
+
 def test_mix_meets_its_targets(spark, work):
     rows = [(k, words(int(random.integers(1, 30))), f"s{k % 4}" if k % 9 else None) for k in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
