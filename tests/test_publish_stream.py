@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histmerge.plans.history import run_merge
+from histmerge.sources import publish
 from histmerge.sources.publish import DAY_US, BusyError, Cut, Publication, TableState
 from histmerge.streaming.incremental import merge_arriving_visits
 from histmerge.workspace import Workspace, shared_folder
@@ -77,6 +78,32 @@ def test_partitions_of_a_number_never_reached_are_cleared(spark, plain):
     assert rows(plain.read("visits"), "visit_date") == [(1,), (2,)]
 
 
+def test_a_write_that_fails_after_counting_leaves_what_is_published(spark, plain):
+    plain.publish({"visits": dated(spark, 1)})
+    lost = F.when(F.col("id") == 29, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id"))
+    bad = spark.range(30).select(lost.alias("id"), F.lit(5).cast("long").alias("visit_date"))
+    with pytest.raises(Exception, match="lost"):
+        plain.publish({"visits": bad}, {})
+    assert rows(plain.read("visits")) == [(1, 1)]
+    assert (plain.current(), plain.claims()) == (1, [])
+
+
+def test_a_task_writes_a_bounded_number_of_rows(spark, plain, monkeypatch):
+    """A large part is cut into several files, however its rows were staged."""
+    monkeypatch.setattr(publish, "TASK_ROWS", 1000)
+    one = spark.range(9500).select("id", F.lit(5).cast("long").alias("visit_date")).coalesce(1)
+    few = spark.range(3).select("id", (F.col("id") * 10 + 20).alias("visit_date"))
+    empty = spark.range(1).select("id", F.lit(None).cast("long").alias("visit_date"))
+    rows_in = one.unionAll(few).unionAll(empty)
+    plain.publish({"visits": rows_in, "places": spark.range(15)})
+    assert rows(plain.read("visits")) == rows(rows_in)
+    assert rows(plain.read("places")) == rows(spark.range(15))
+    sizes = plain.read("visits").where("visit_date = 5").groupBy(F.input_file_name()).count()
+    assert max(r["count"] for r in sizes.collect()) <= 1200 and sizes.count() == 10
+    assert files(plain.read_between("visits", 20, 29)) == 1
+    assert plain.state() == {"visits": TableState(9504, 9499), "places": TableState(15, 14)}
+
+
 def test_one_writer_at_a_time(spark, plain):
     with plain.claimed("first"):
         with pytest.raises(BusyError, match="claimed by first"):
