@@ -1,7 +1,7 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hashed words and word pairs are counted: one over a
-bounded sample of documents labelled good (the trusted target), one over every
+Two multinomials over hashed words and word pairs are counted: one over every
+document labelled good (the trusted target), one over every
 document (the raw corpus), which is also the first's prior: an n-gram that the
 trusted documents lack tends to no weight, not to a low one. A document's score
 is the sum of its n-grams' log ratios over their number. A document is kept if it
@@ -12,7 +12,7 @@ the threshold lies below theirs by a part of their spread that shrinks with thei
 number. Nothing is drawn at random, and the rule is one for all sizes.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Words, lines and windows are compared by
-64-bit hashes of their bytes.
+64-bit hashes of their bytes, trusted texts by two of them.
 
 Defined results: a null or empty text has no words and fails the base rules;
 without two different trusted texts, one of which passes the base rules, no text can
@@ -22,6 +22,7 @@ repeated rows are judged alike.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -40,16 +41,18 @@ from histmerge.llm.batches import (
     slices,
     with_columns,
 )
+from histmerge.llm.marks import bitmap, marked
+from histmerge.workspace import Workspace
 
 #: 2**BITS buckets of n-grams; each count takes 2**(BITS + 3) bytes.
 BITS = 16
-#: Most documents in the trusted sample.
-TRUSTED = 5_000
 #: Least log ratio an n-gram (nats) of a kept document, and raw counts added to the trusted.
 THRESHOLD, PRIOR = -0.18, 1_000.0
 #: The share of the trusted texts that may fall below the threshold, each held out, and
 #: how many standard deviations it lies lower for a single text, for n of them 1/n of that.
 LOST, MARGIN = 0.005, 10.0
+#: Ranges of values that are counted at once in search of a quantile.
+RANGES = 4_096
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 
 #: Fixed values of the symbol rule.
@@ -130,42 +133,58 @@ def ngram_buckets(words: np.ndarray, rows: np.ndarray, bits: int) -> tuple[np.nd
     )
 
 
-def trusted_sample(labels: DataFrame, size: int = TRUSTED) -> DataFrame:
-    """``doc_id`` of at most ``size`` documents labelled good, by a hash of the id."""
-    good = with_columns(labels, {"doc_id": "long", "quality": "int"}).where(
-        "doc_id is not null and quality = 1"
-    )
-    return (
-        good.select("doc_id", F.xxhash64("doc_id", F.lit(6)).alias("h"))
-        .distinct()
-        .orderBy("h", "doc_id")
-        .limit(size)
-        .select("doc_id", F.lit(True).alias("trusted"))
+def trusted_texts(docs: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+    """Written: each different ``text`` of the documents labelled good, and its ``copies``.
+
+    Which texts these are is found by ids and hashes alone. A bitmap of them then sifts
+    the documents, so that little else than one row of each text moves.
+    """
+    good = with_columns(labels, {"doc_id": "long", "quality": "int"}).where("quality = 1")
+    key = ["doc_id", "h1", "h2"]
+    rows = docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(6), "text")})
+    found = rows.select(*key).join(good.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = work.keep(
+        found.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")),
+        "trusted-ids",
     )
+    h = F.xxhash64(*key).alias("h")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(held.select(h)))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = np.asarray(batch.column(batch.schema.get_field_index("h"))).view(np.uint64)
+            yield batch.filter(pa.array(marked(shared.value, seen)))
+
+    rows = rows.select(*key, "text", h)
+    sifted = map_batches(rows, sift, rows.schema).drop("h")
+    texts = sifted.join(held, key).dropDuplicates(key)
+    return work.keep(texts.select("text", "copies"), "trusted-texts")
 
 
-def bucket_counts(marked: DataFrame, bits: int) -> np.ndarray | None:
-    """The counts of all documents and of the trusted ones.
+def bucket_counts(texts: DataFrame, bits: int) -> np.ndarray | None:
+    """How often each bucket occurs in the texts, each taken ``copies`` times if there
+    is such a column; None without any word.
 
-    Each task sums its documents into arrays of 2**bits numbers and passes on
-    those alone, in 16 parts that are added up in parallel.
+    Each task sums its documents into an array of 2**bits numbers and passes on
+    that alone, in 16 parts that are added up in parallel.
     """
     parts = 16
+    weighed = "copies" in texts.columns
+    texts = texts.select("text", *["copies"] * weighed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << bits), np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for part, texts in slices(batch):
                 starts, ends, rows = texts.spans(WORD)
                 words = texts.hashes(starts, ends)
                 at, buckets = ngram_buckets(words, rows, bits)
-                total[0] += np.bincount(buckets, minlength=1 << bits)
-                flag = part.column(part.schema.get_field_index("trusted")).fill_null(False)
-                chosen = np.asarray(flag.to_pylist(), bool)
-                if chosen.any():
-                    total[1] += np.bincount(buckets[chosen[at]], minlength=1 << bits)
+                if weighed:
+                    np.add.at(total, buckets, np.asarray(part.column(1))[at])
+                else:
+                    total += np.bincount(buckets, minlength=1 << bits)
         if total.any():
-            cut = np.split(total, parts, axis=1)
+            cut = np.split(total, parts)
             yield pa.record_batch(
                 [pa.array(range(parts), pa.int32()), binaries([zlib.compress(x.tobytes(), 1) for x in cut])],
                 ["part", "counts"],
@@ -184,11 +203,33 @@ def bucket_counts(marked: DataFrame, bits: int) -> np.ndarray | None:
             )
 
     schema = "part int, counts binary"
-    counted = map_batches(marked, count, schema).repartition(parts, "part")
+    counted = map_batches(texts, count, schema).repartition(parts, "part")
     found = sorted(map_batches(counted, add, schema).collect())
     if not found:
         return None
-    return np.concatenate([np.frombuffer(r["counts"], np.int64).reshape(2, -1) for r in found], 1)
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in found])
+
+
+def value_at(values: DataFrame, column: str, share: float) -> float | None:
+    """The least value that ``share`` of the rows don't exceed, exactly; None without rows.
+
+    Rows are counted by ranges between the least and the largest value, then within
+    the range that holds it, so nothing is sorted or gathered in one place.
+    """
+    x = F.col(column)
+    n, low, high = values.agg(F.count(x), F.min(x), F.max(x)).first()
+    wanted = max(1, math.ceil(share * n))
+    while n and low < high:
+        part = F.least(F.floor((x - low) / (high - low) * RANGES), F.lit(RANGES - 1))
+        counted = values.where(x.between(low, high)).groupBy(part.alias("part")).agg(
+            F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high")
+        )
+        for r in sorted(counted.collect()):  # RANGES rows at most
+            low, high = r["low"], r["high"]
+            if wanted <= r["n"]:
+                break
+            wanted -= r["n"]
+    return low
 
 
 def log_ratios(raw: np.ndarray, trusted: np.ndarray, prior: float = PRIOR) -> np.ndarray:
@@ -201,18 +242,18 @@ def log_ratios(raw: np.ndarray, trusted: np.ndarray, prior: float = PRIOR) -> np
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, size: int = TRUSTED
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bits: int = BITS
 ) -> tuple[np.ndarray | None, float]:
     """The log ratio of each bucket, and the least score of a kept document."""
-    sample = F.broadcast(trusted_sample(labels, size))  # ``size`` rows at most
+    work = Workspace(docs.sparkSession)
     plain = with_columns(docs, {"doc_id": "long", "text": "string"})
-    counts = bucket_counts(plain.join(sample, "doc_id", "left"), bits)
-    if counts is None or not counts[1].any():
-        return None, threshold
-    raw, trusted = counts
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
     # Copies of a text are held out together.
-    texts = plain.join(sample, "doc_id").groupBy("text").agg(F.count("*").alias("copies"))
+    texts = trusted_texts(plain, labels, work)
+    trusted = bucket_counts(texts, bits)
+    if trusted is None:
+        return None, threshold
+    raw = bucket_counts(plain, bits)
+    shared = docs.sparkSession.sparkContext.broadcast((raw, trusted))
 
     def held_out(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
         starts, ends, rows = texts.spans(WORD)
@@ -222,14 +263,13 @@ def fit(
         scores = held_out_scores(words, rows, copies, *shared.value, bits)
         return pa.record_batch([pa.array(scores[~failed & ~np.isnan(scores)])], ["score"])
 
-    found = map_slices(texts, held_out, "score double").agg(
-        F.count("*").alias("n"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("spread"),
-        F.expr(f"percentile_disc({LOST}) within group (order by score)").alias("low"),
-    ).first()
+    scores = work.keep(map_slices(texts, held_out, "score double"), "held-out-scores")
     shared.unpersist()
-    if not found["n"]:
+    n, spread = scores.agg(F.count("score"), F.coalesce(F.stddev_pop("score"), F.lit(0.0))).first()
+    if not n:
         return None, threshold
-    return log_ratios(raw, trusted), min(threshold, found["low"] - MARGIN * found["spread"] / found["n"])
+    low = value_at(scores, "score", LOST)
+    return log_ratios(raw, trusted), min(threshold, low - MARGIN * spread / n)
 
 
 def held_out_scores(

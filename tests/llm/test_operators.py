@@ -244,6 +244,30 @@ def test_quality_scores_each_trusted_text_without_itself(spark):
     assert np.isnan(alone[0])
 
 
+def test_quality_counts_every_trusted_text(spark):
+    """More good documents than any sample: all are counted, copies and repeated rows too."""
+    from histmerge.workspace import Workspace
+
+    rows = [(k, f"good{k % 5990} text") for k in range(6000)] + [(7, "good7 text"), (8, "second of 8"), (9000, "raw")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = [(k, 1) for k in [*range(6000), 5, 70_000]] + [(9000, 0), (None, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    texts = quality.trusted_texts(df, labels, Workspace(spark))
+    found = {r["text"]: r["copies"] for r in texts.collect()}
+    want = {}
+    for k, text in rows:
+        if k < 6000:
+            want[text] = want.get(text, 0) + 1
+    assert texts.count() == len(found) and found == want
+    every = spark.createDataFrame([(t,) for t, n in want.items() for _ in range(n)], "text string")
+    assert (quality.bucket_counts(texts, 10) == quality.bucket_counts(every, 10)).all()
+    scores = spark.createDataFrame([(k * k % 997 / 100,) for k in range(999)], "x double")
+    for share in (0.005, 0.3, 1.0):
+        plain = scores.agg(F.expr(f"percentile_disc({share}) within group (order by x)")).first()[0]
+        assert quality.value_at(scores, "x", share) == plain
+    assert quality.value_at(scores.limit(0), "x", 0.5) is None
+
+
 def test_languages_beside_many_copies_and_in_long_texts(spark):
     rows = [(f"the cat and the dog went to town {k}", "en") for k in range(200)]
     rows += [(f"der hund und die katze gingen fort {k}", "de") for k in range(200)]
