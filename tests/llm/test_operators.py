@@ -62,6 +62,23 @@ def test_repeats_equal_brute_force(spark, docs, work, most):
     assert sum(r["n_removed"] for r in found) == sum(len((t or "").encode()) for _, t in DOCS) - sum(map(len, want))
 
 
+def test_rows_of_one_window_are_dealt_to_many_tasks(spark):
+    windows = [(7, 7, bytes([d, s]), s) for d in range(40) for s in range(50)]  # one window, 2,000 places
+    windows += [(8, 8, b"a", 1), (8, 8, b"b", 1), (8, 9, b"a", 2), (9, 8, b"a", 3), (9, 8, b"a", 3)]
+    rows = spark.createDataFrame(windows, "one long, two long, key binary, start long")
+    known = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(known, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        found = repeats.among_repeated(rows, 64).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)
+    want = [w for w in windows if w[:2] in ((7, 7), (8, 8))]
+    assert sorted((r["one"], r["two"], bytes(r["key"]), r["start"]) for r in found) == sorted(want)
+    assert max(Counter(r["task"] for r in found if r["one"] == 7).values()) < 1000
+
+
 def test_loser_tree_merges_and_tells_common_prefixes():
     keys = sorted({random.bytes(int(n)) for n in random.integers(1, 6, 300)})
     runs = [[k for k in keys if random.random() < 0.5] for _ in range(5)]
